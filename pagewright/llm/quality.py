@@ -1,7 +1,7 @@
 """Quality rules by repetition coverage.
 
 For each of several n-gram lengths a rolling hash runs over the document's word numbers in
-numpy; the characters of all words inside an n-gram that occurs twice or more are measured
+numpy; the characters of all words inside an n-gram that has occurred before are measured
 against the characters in words, and so are the characters of lines that repeat an earlier
 line.  A document is rejected by the method where one of these shares is over its limit, and
 by the base rules where it has under ``least_words`` words or over half of its words stand in
@@ -31,8 +31,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_ngram_share double, dup_line_share double"
 
 
-def _covered(keys: np.ndarray, n: int) -> np.ndarray:
-    """Which words lie in a window of ``n`` words whose key occurs twice or more."""
+def _covered(keys: np.ndarray, n: int, first: bool) -> np.ndarray:
+    """Which words lie in a window of ``n`` words whose key occurs twice or more; without
+    ``first``, the earliest window of each key does not count."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
@@ -40,7 +41,8 @@ def _covered(keys: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(len(keys) + n - 1, dtype=bool)
     twice = np.zeros(len(keys), dtype=bool)
     twice[1:] = same
-    twice[:-1] |= same
+    if first:
+        twice[:-1] |= same
     edges = np.zeros(len(keys) + n, dtype=np.int64)
     starts = order[twice]
     edges[starts] += 1
@@ -75,7 +77,7 @@ def measure(text: str, limits: dict[int, float] = LIMITS, line_limit: float = LI
             m = len(numbers)
             pairs = ids[:-1] * m + ids[1:]  # a text has fewer than 2**31 words, so this is exact
             _, pairs = np.unique(pairs, return_inverse=True)
-            n_repeat = int(_covered(pairs[:-1] * m + ids[2:], 3).sum())
+            n_repeat = int(_covered(pairs[:-1] * m + ids[2:], 3, first=True).sum())
             chars = None
             mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
@@ -87,7 +89,7 @@ def measure(text: str, limits: dict[int, float] = LIMITS, line_limit: float = LI
                 while length < n:  # hash(w1..wn) = hash(w1..wn-1) * base + wn
                     rolled = rolled[:-1] * BASE + mixed[length:]
                     length += 1
-                inside = _covered(rolled, n)
+                inside = _covered(rolled, n, first=False)
                 if inside.any():
                     if chars is None:
                         chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=n_words)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import langid, packing, quality, sql
+from pagewright.llm import langid, mixing, packing, quality, secrets, sharding, sql, topk
 from pagewright.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", found["__held_out"].alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumn("spans", secrets.listed("__secret_spans"))
+    counts = [secrets.count_of("__secret_base", p.kind).alias(f"n_{p.kind}") for p in secrets.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("__secret_base"), 256).alias("base_sha256"), "spans")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(documents(spark, sf_dir), shards=8)
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of the mixture: its document, number and place in the shuffled order."""
+    mixed = mixing.mix(documents(spark, sf_dir), carry=["doc_id", "source"])
+    return mixed.select("doc_id", "source", F.col("__mix_copy").alias("copy"), F.col("__mix_copies").alias("copies"), F.col("__mix_order").alias("shuffle_key"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
@@ -30,5 +52,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op6_quality_rules, op9_packing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_secret_scan, op3_sharding, op4_exact_top_k, op5_source_mix, op6_quality_rules, op9_packing)
+}
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
