@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import langid, mixing, packing, quality, secrets, sharding, sql, topk
+from pagewright.llm import htmltext, langid, mixing, packing, quality, secrets, sharding, sql, topk, toxicity
 from pagewright.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(documents(spark, sf_dir), labels.where(~held_out("doc_id")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("__held_out", held_out("doc_id"))
+    found = toxicity.score(docs, toxicity_model(spark, sf_dir), keep=("doc_id", "__held_out"), threshold=0.3)
+    return found.select("doc_id", F.col("__held_out").alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +70,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_sharding, op4_exact_top_k, op5_source_mix, op6_quality_rules, op9_packing)
+    for f in (op1_language_id, op2_secret_scan, op3_sharding, op4_exact_top_k, op5_source_mix, op6_quality_rules, op7_main_text, op8_toxicity, op9_packing)
 }
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
