@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import htmltext, langid, mixing, packing, quality, secrets, sharding, sql, topk, toxicity
+from pagewright.llm import htmltext, jaccard, langid, mixing, packing, quality, secrets, sharding, sql, topk, toxicity
 from pagewright.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(documents(spark, sf_dir), jaccard.Rule(n=3, percent=90))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_sharding, op4_exact_top_k, op5_source_mix, op6_quality_rules, op7_main_text, op8_toxicity, op9_packing)
+    for f in (op1_language_id, op2_secret_scan, op3_sharding, op4_exact_top_k, op5_source_mix, op6_quality_rules, op7_main_text, op8_toxicity, op9_packing, op10_ngram_jaccard)
 }
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)

@@ -185,8 +185,11 @@ def initial(shape: Shape, n_words: int, rng: np.random.Generator) -> dict[str, n
     }
 
 
-def train(texts: list[str], labels: list[int], shape: Shape = Shape(), epochs: int = 6, batch: int = 48, rate: float = 0.01, least: int = 4, seed: int = 7) -> Model:
-    """Fit a model; the same rows in the same order give the same model."""
+def train(texts: list[str], labels: list[int], shape: Shape = Shape(), epochs: int = 6, least_steps: int = 240, batch: int = 48, rate: float = 0.01, least: int = 4, seed: int = 7) -> Model:
+    """Fit a model in ``epochs`` passes, or more where these have under ``least_steps`` steps.
+
+    The same rows in the same order give the same model.
+    """
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return Model(shape, {}, constant=float(y[0]) if len(y) else 0.0)
@@ -223,7 +226,7 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape(), epochs: i
         table = np.einsum("nd,kdh->nkh", x, w["project"]) + w["project_bias"]
         return table[at].astype(np.float32), (real, at, rows, gram, n, x)
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // -(-len(docs) // batch)))):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
