@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once an application.
+
+    Spark serves the archive from the driver, so no worker needs it in its own path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as scratch:
+        copy = Path(scratch, "tree", home.name)
+        shutil.copytree(home, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        keep = tempfile.mkdtemp(prefix="pagewright-")
+        context.addPyFile(shutil.make_archive(f"{keep}/{home.name}", "zip", copy.parent))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
