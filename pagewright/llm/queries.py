@@ -43,7 +43,8 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(documents(spark, sf_dir))
+    found = quality.assess(documents(spark, sf_dir))
+    return found.drop("dup_ngram_share", "dup_line_share")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
