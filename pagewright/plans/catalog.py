@@ -16,6 +16,7 @@ from pagewright.functions import urls as u
 from pagewright.operators import crawl, filters, frontier, politeness
 from pagewright.operators.extract import extract_pages, link_rows
 from pagewright.sources import seeds
+from pagewright.streaming import robots_state
 from pagewright.streaming import visited as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,6 +534,21 @@ def stream_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.domain_counts(streams.page_stream(spark, f"{sf_dir}/pages.parquet")), "complete")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id AS request_id, epoch_us(ts) AS at_us FROM events),
+    f AS (SELECT host, min(at_us) AS at_us FROM e GROUP BY host UNION ALL
+    SELECT f.host, (SELECT min(e.at_us) FROM e WHERE e.host = f.host AND e.at_us - f.at_us > 86400000000) FROM f WHERE f.at_us IS NOT NULL)
+    SELECT host, count(at_us) AS n_fetches FROM f GROUP BY host"""
+)
+def stream_robots_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches of a robots file by host; users stand for hosts and events for requests."""
+    events = streams.page_stream(spark, f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
+    requests = events.select(F.col("user_id").cast("string").alias("host"), at.alias("at_us"), F.col("event_id").alias("request_id"))
+    found = streams.drained(robots_state.refreshes(requests), "append")
+    return found.groupBy("host").agg(F.count(F.when(F.col("fetch"), 1)).alias("n_fetches"))
+
+
 @query()
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supersteps from every page's URL as a seed, with the table of pages as the web."""
