@@ -323,10 +323,10 @@ def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     open_ = staged(large.withColumn("outside", F.sum(F.when(F.col("component") != F.col("hub_component"), 1).otherwise(0)).over(by_token)).where("outside > 0"), "open")
     if not open_.isEmpty():
         blocks, outer_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
-        at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+        at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
         inner = open_.select("token", "node", "component", F.lit(False).alias("outer"), at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), outer_blocks - 1)).alias("outer_block"))
         outer = open_.where("component <> hub_component").select(
-            "token", "node", "component", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), blocks - 1)).cast("long").alias("block"), at(outer_blocks, 2).cast("int").alias("outer_block")
+            "token", "node", "component", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), at(outer_blocks, 2).alias("outer_block")
         )
         full = inner.unionByName(outer).join(sets.withColumnRenamed("id", "node"), "node")
         percent = rule.percent
