@@ -2,22 +2,26 @@
 
 A document's set holds the 64-bit hashes of its distinct word n-grams.  Two sets of a Jaccard
 similarity of t or more share a token among the first ``n - ceil(t * n) + 1`` tokens of each
-under *any* one order of all tokens.  Three orders are used, each by a coarser measure of the
-token's frequency first (rare tokens lead) and by a hash of its own then.  The first order is
-an index: its prefix tokens are shuffled, and documents that meet under a token are paired.
-A pair stays a candidate only if its prefixes under the second and the third order meet as
-well; what is left is verified on the whole sets.
+under *any* one order of all tokens.  Three orders are used.
 
-Frequencies come from a count of all documents' tokens in ``2**SKETCH_BITS`` buckets, summed
-in the cluster and broadcast (4 MB at any input size); any fixed order is exact, a better
-estimate only gives fewer candidates.
+The first order is an index.  A hash picks a share of all tokens, somewhat more than a prefix
+holds; their exact document frequencies come from the shuffle that brings equal tokens
+together, and the picked tokens lead the order, rare ones first.  So most documents' prefixes
+hold tokens that no other document has, and only the others stay in the index.  Very frequent
+tokens, known from a count of all documents' tokens in ``2**SKETCH_BITS`` buckets (4 MB at any
+input size), come last in the order and hardly ever travel.  A document with too few picked
+tokens fills up its prefix with others by hash.
+
+Documents that meet under a token are paired.  A pair stays a candidate only if its prefixes
+under the second and the third order, two independent hashes, meet as well; what is left is
+verified on the whole sets.
 
 Equal sets are one node, named by its smallest document id.  Tokens with at most
 ``SMALL_GROUP`` nodes give all their pairs.  In a larger group every node is first paired
-with the group's hub, the node of the commonest prefix; links join nodes to components, and
-then only nodes outside the hub's component are held against the whole group, in blocks of
-bounded size.  So no group is collected, no pair across components is left out, and pairs
-within a component, which cannot change it, are not made.
+with the group's hub, the node with the largest share of tokens that others have; links join
+nodes to components, and then only nodes outside the hub's component are held against the
+whole group, in blocks of bounded size.  So no group is collected, no pair across components
+is left out, and pairs within a component, which cannot change it, are not made.
 
 Defined results: a null or empty text, or one of white space, has the empty set and links
 with nothing.  A text with fewer than ``n`` words has its whole sequence as its one shingle.
@@ -45,6 +49,10 @@ SKETCH_BITS = 20
 PARTS = 64
 SMALL_GROUP = 32
 BLOCK = 1000
+#: Candidates up to which their ids are broadcast to the documents (16 bytes each).
+BROADCAST_IDS = 2_000_000
+#: A token is very frequent from this many times the mean of a bucket on.
+FREQUENT = 4
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 WEYL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -59,6 +67,11 @@ class Rule:
     def prefix(self, size: int) -> int:
         return size + (-self.percent * size // 100) + 1
 
+    @property
+    def picked(self) -> float:
+        """The share of all tokens that leads the first order."""
+        return min(1.0, 1.5 * (100 - self.percent) / 100)
+
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x ^ np.uint64(salt)) * WEYL
@@ -131,12 +144,27 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     return np.minimum(total.reshape(-1), 2**32 - 1).astype(np.uint32)
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, rule: Rule, order: int) -> tuple[np.ndarray, float]:
-    """A set's prefix under one order, and the mean count of its tokens."""
-    count = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64)
-    measure = count if order == 0 else np.floor(np.log2(count + 1) / (1, 3)[order - 1])
-    first = np.lexsort((mixed(tokens, ORDERS[order]), measure))[: rule.prefix(len(tokens))]
-    return tokens[first], float(count[first].mean()) if len(tokens) else 0.0
+def posted(tokens: np.ndarray, counts: np.ndarray, frequent: float, rule: Rule) -> tuple[np.ndarray, int]:
+    """The tokens of a set that may stand in its first prefix, and how many of them are picked.
+
+    All picked tokens that are not very frequent; where these are fewer than the prefix holds,
+    the prefix is these and the next tokens of the order.
+    """
+    count = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    hashed = mixed(tokens, ORDERS[0])
+    lead = (hashed < np.uint64(int(rule.picked * (2**64 - 1)))) & (count < frequent)
+    n, size = int(lead.sum()), rule.prefix(len(tokens))
+    if n >= size:
+        return tokens[lead], n
+    level = np.floor(np.log2(np.maximum(count, frequent) / frequent) + (count >= frequent))
+    return tokens[np.lexsort((hashed, level, ~lead))[:size]], n
+
+
+def prefix(tokens: np.ndarray, rule: Rule, order: int) -> np.ndarray:
+    """A set's prefix under the second (1) or the third (2) order."""
+    hashed = mixed(tokens, ORDERS[order])
+    size = rule.prefix(len(tokens))
+    return tokens[np.argpartition(hashed, size - 1)[:size]] if size < len(tokens) else tokens
 
 
 def similar(common, size_a, size_b, percent: int):
@@ -144,39 +172,40 @@ def similar(common, size_a, size_b, percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch], counts, rule: Rule) -> Iterator[pa.RecordBatch]:
-    """doc_id, size, node; the first row of a node in a task has its first prefix too."""
+    """doc_id, size, node; the first row of a node in a task has its tokens for the index too."""
     seen: set[bytes] = set()
+    frequent = max(8.0, FREQUENT * float(counts.value.mean()))
     for batch in batches:
         ids, texts = batch.column("__id"), raw_bytes(batch, "__text")
-        sizes, nodes, first, centre = [], [], [], []
+        sizes, nodes, tokens_, picked = [], [], [], []
         for tokens in shingle_sets(texts, rule.n):
             node = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
             sizes.append(len(tokens))
             nodes.append(node)
             if node is None or node in seen:
-                first.append(None)
-                centre.append(None)
+                tokens_.append(None)
+                picked.append(None)
                 continue
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(node)
-            found, mean = prefix(tokens, counts.value, rule, 0)
-            first.append(found.view(np.int64))
-            centre.append(mean)
+            found, n = posted(tokens, counts.value, frequent, rule)
+            tokens_.append(found.view(np.int64))
+            picked.append(n)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(centre, pa.float64())],
-            names=["doc_id", "size", "node", "prefix", "centre"],
+            [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(tokens_, pa.list_(pa.int64())), pa.array(picked, pa.int64())],
+            names=["doc_id", "size", "node", "tokens", "picked"],
         )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], counts, rule: Rule) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """id, size, the set and its second and third prefix."""
     for batch in batches:
         texts = raw_bytes(batch, "__text")
         for a, b in runs(texts, 1 << 21):
             rows = []
             for key, tokens in zip(batch.column("__id").to_pylist()[a:b], shingle_sets(texts[a:b], rule.n), strict=True):
-                found = [prefix(tokens, counts.value, rule, order)[0] for order in (1, 2)]
+                found = [prefix(tokens, rule, order) for order in (1, 2)]
                 # half of a hash is enough for a filter: it can only let more pairs through
                 rows.append((key, len(tokens), tokens.tobytes(), *((f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in found)))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
@@ -285,32 +314,43 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return filtered.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
 
-def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", small_group: int = SMALL_GROUP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     counts = spark.sparkContext.broadcast(frequencies(source.select("__text"), rule.n))
-    schema = "doc_id long, size long, node binary, prefix array<long>, centre double"
+    schema = "doc_id long, size long, node binary, tokens array<long>, picked long"
     rows = staged(source.mapInArrow(lambda it: _sets(it, counts, rule), schema), "sets")
-    members = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "node", "size")
-    named = staged(members.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("size").alias("size")), "nodes")
-    # the index: nodes that share a token of the first prefix with another node
-    posted = rows.where(F.col("prefix").isNotNull()).select("node", "centre", F.explode("prefix").alias("token"))
-    posted = posted.repartition("token").dropDuplicates(["token", "node"])
+    short = F.xxhash64("node").alias("short")  # half a node's name, to shuffle less
+    members = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    named = staged(members.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.max("picked").alias("picked")), "nodes")
     by_token = Window.partitionBy("token")
-    met = posted.withColumn("n", F.count("*").over(by_token)).where("n > 1")
-    met = met.join(named, "node").select("token", "id", "size", "centre", "n")
+    # tokens that another node has too, then the part of them that is in the prefix
+    postings = rows.where(F.col("tokens").isNotNull()).select(short, F.explode("tokens").alias("token"))
+    postings = postings.repartition("token").dropDuplicates(["token", "short"])
+    met = postings.withColumn("n", F.count("*").over(by_token)).where("n > 1")
+    met = met.join(named.select(short, "id", "size", "picked"), "short")
+    by_node = Window.partitionBy("short")
+    place = F.row_number().over(by_node.orderBy("n", F.xxhash64("token")))
+    shared = F.count("*").over(by_node)
+    prefix_size = F.expr(f"size - (size * {rule.percent} + 99) div 100 + 1")
+    met = met.withColumn("place", place).withColumn("shared", shared)
+    # unshared tokens come first in the order and take their places
+    in_prefix = (F.col("picked") < prefix_size) | (F.col("place") <= prefix_size - F.col("picked") + F.col("shared"))
+    met = met.where(in_prefix).select("token", "id", "size", (F.col("shared") / F.greatest("picked", F.lit(1))).alias("centre"))
+    counted = met.withColumn("n", F.count("*").over(by_token)).where("n > 1")
     hub = F.max(F.struct("centre", "size", "id")).over(by_token)["id"]
-    index = staged(met.withColumn("hub", hub), "index")
-    wanted = index.select(F.col("id").alias("__id")).distinct()
-    texts = source.join(wanted, "__id").select("__id", "__text")
+    index = staged(counted.withColumn("hub", hub), "index")
+    wanted = staged(index.select(F.col("id").alias("__id")).distinct(), "candidate-ids")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = source.join(F.broadcast(wanted) if few else wanted, "__id").select("__id", "__text")
     kind = "id long, size long, tokens binary, second array<int>, third array<int>"
-    sets = staged(texts.mapInArrow(lambda it: _candidates(it, counts, rule), kind), "candidates")
-    small = index.where(F.col("n") <= SMALL_GROUP).select("token", "id", "size")
+    sets = staged(texts.mapInArrow(lambda it: _candidates(it, rule), kind), "candidates")
+    small = index.where(F.col("n") <= small_group).select("token", "id", "size")
     other = small.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"))
     fits = (100 * F.col("size") >= rule.percent * F.col("size_b")) & (100 * F.col("size_b") >= rule.percent * F.col("size"))
     pairs = small.join(other, "token").where(F.col("id") < F.col("b")).where(fits).select(F.col("id").alias("a"), "b")
-    large = index.where(F.col("n") > SMALL_GROUP)
+    large = index.where(F.col("n") > small_group)
     stars = large.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     links = staged(verified(pairs.union(stars).distinct(), sets, rule), "links")
     joined = components(links)
@@ -322,7 +362,7 @@ def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     )
     open_ = staged(large.withColumn("outside", F.sum(F.when(F.col("component") != F.col("hub_component"), 1).otherwise(0)).over(by_token)).where("outside > 0"), "open")
     if not open_.isEmpty():
-        blocks, outer_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+        blocks, outer_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("outside") / block).cast("int")
         at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
         inner = open_.select("token", "node", "component", F.lit(False).alias("outer"), at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), outer_blocks - 1)).alias("outer_block"))
         outer = open_.where("component <> hub_component").select(
