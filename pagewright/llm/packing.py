@@ -16,10 +16,13 @@ empty table gives no piece.  Memory is bounded by one document, the open sequenc
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,51 @@ from pagewright.llm.common import runs, strings
 
 END = np.zeros(1, dtype="<u4").tobytes()
 #: Words whose ids a worker remembers.
-CACHED = 400_000
+CACHED = 600_000
+#: A space that does not begin a word.
+BLANKS = re.compile(r" (?:\s|\Z)")
+
+
+# How byte-level BPE vocabularies split words, and the characters whose classes
+# in that rule are the same in every version of Unicode.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+STEADY = re.compile(r"[\n\x21-\x7e\xa1-\xac\xae-\u017f]+")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the other bytes for those from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def fast_encoding(path: str):
+    """An encoder that gives the same ids several times faster, or None for another kind of vocabulary.
+
+    The rank of a merge is its result's id in these vocabularies, so the ids are the ranks.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    if parts.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or model.get("type") != "BPE":
+        return None
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    alphabet, special = byte_alphabet(), {t["content"] for t in parts.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in name): i for name, i in model["vocab"].items() if name not in special}
+    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 class WordTokenizer:
     """Ids of whole texts from a byte-level BPE whose words begin with their space.
 
     A space before a character that is not white space always begins a new word of such a
-    vocabulary, so the parts between these places are encoded once each and remembered.
+    vocabulary, so the parts between these places are encoded once each and remembered: the
+    first part of a text as it is, each other part by what follows its space.
     """
 
     def __init__(self, path: str):
@@ -47,29 +87,55 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.fast = fast_encoding(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: a token's name has a character for each of its bytes
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        first, *rest = text.split(" ")
+        found = text.split(" ")
+        if not BLANKS.search(text):
+            return found
+        first, *rest = found
         found = [first]
         for x in rest:
             if x and not x[0].isspace():
-                found.append(" " + x)
-            else:
+                found.append(x)
+            else:  # white space belongs to the part before it
                 found[-1] += " " + x
         return found
 
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each of ``texts``."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, words: list[str], most: int = 500) -> Iterator[bytes]:
+        """Ids of words of steady characters after a space each, encoded as one text; the
+        sizes of the tokens tell where each word's end."""
+        for i in range(0, len(words), most):
+            own = words[i : i + most]
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(own)), dtype="<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in own])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            flat = ids.tobytes()
+            yield from (flat[4 * a : 4 * b] for a, b in pairwise([0, *ends.tolist()]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
         split = [self.parts(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        heads = self.plain([words[0] for words in split])
+        new = list(set().union(*split).difference(known))
+        steady = [x for x in new if STEADY.fullmatch(x)] if self.fast else []
+        known.update(zip(steady, self.together(steady), strict=True))
+        rest = [x for x in new if x not in known]
+        known.update(zip(rest, self.plain([" " + x for x in rest]), strict=True))
+        return [head + b"".join(map(known.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
