@@ -49,7 +49,7 @@ SKETCH_BITS = 20
 PARTS = 64
 SMALL_GROUP = 32
 BLOCK = 1000
-#: Candidates up to which their ids are broadcast to the documents (16 bytes each).
+#: Candidates up to which their ids are broadcast to the documents (about 60 bytes each).
 BROADCAST_IDS = 2_000_000
 #: A token is very frequent from this many times the mean of a bucket on.
 FREQUENT = 4

@@ -43,3 +43,20 @@ def test_run(spark, sf):
 def test_stage_names():
     assert len(corpus_pipeline.STAGES) == 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
     assert jaccard and mixing and secrets
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, nothing):
+    """Nulls, repeated rows and clashing columns pass every stage; empty tables stay empty."""
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, odd, sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert rows.columns == odd.columns
+        found = rows.collect()
+        ids = {r["doc_id"] for r in odd.collect()}
+        assert {r["doc_id"] for r in found} <= ids and found
+        if name in ("toxicity", "secret_scans"):
+            assert len(found) == odd.count()
+        if name == "ngram_jaccard_join":
+            kept = [r["doc_id"] for r in found]
+            assert len(kept) == len(set(kept)) and {0, 1, 2, 4, None} <= set(kept) and not {5, 100} & set(kept)
+        assert stage(spark, nothing, sf).count() == 0
