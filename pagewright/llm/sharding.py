@@ -1,12 +1,13 @@
 """Byte-balanced sharding of indivisible groups by Karmarkar-Karp differencing.
 
 Equal texts form a group that must stay together.  Groups are dealt by a hash to cells of a
-bounded number; each cell repeatedly combines its two partial partitions with the largest
-spread, oppositely ordered, until one partition into ``shards`` loads is left, and the cells'
-partitions are then differenced in the same way on the driver, which sees ``shards`` numbers
-a cell and never a group.  Groups larger than a ``1 / (shards * coarse)`` part of all bytes
-(so at most ``shards * coarse`` of them) are differenced first; each cell then starts from
-their loads, scaled to the cell, so that small groups fill up what large ones leave.
+bounded number.  A cell sorts its groups by size and cuts them into levels of half the bytes, a
+quarter and so on; each level repeatedly combines its two partial partitions with the largest
+spread, oppositely ordered, until one partition into ``shards`` loads, the level's pieces, is
+left.  A group larger than an average cell's share of a shard cannot be balanced inside a cell
+and is a piece of its own.  The pieces of all cells and the large groups are then differenced
+together on the driver, so that small pieces fill up what large groups leave; it sees at most
+``most_cells * shards`` pieces of the cells and ``shards * max(coarse, cells)`` large groups.
 
 A row's slot is the number of rows before it in its shard.  Rows are counted by shard and by
 a hash bucket of the key; the counts give each bucket its first slot and a window numbers the
@@ -87,42 +88,37 @@ def by_bytes(
     n_rows, total = rows.agg(F.count("*"), F.sum("size")).first()
     cells = max(1, min(most_cells, math.ceil(n_rows / cell_groups)))
     groups = staged(summed.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int")), "shard-groups")
-    large_from = (total or 0) / (shards * coarse)
+    levels = max(1, min(14, most_cells // cells))
+    large_from = (total or 0) / (shards * max(coarse, cells))
     large = [(r["bytes"], bytes(r["group"])) for r in groups.where(F.col("bytes") > large_from).select("bytes", "group").collect()]
-    large.sort(reverse=True)
-    placed = difference([single(b, g, shards) for b, g in large], shards)
-    base = np.array([load for load, _ in placed], dtype=np.float64)
-    rest = max(1, (total or 0) - int(base.sum()))
-    of_large = [(bytearray(g), s) for s, (_, linked) in enumerate(placed) for g in contents(linked)]
 
-    def cell_shards(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cell_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "group"], ascending=[False, True], ignore_index=True)
-        sizes = pdf["bytes"].tolist()
-        parts = [single(b, i, shards) for i, b in enumerate(sizes)]
-        if base.any():
-            scaled = np.rint(base * (sum(sizes) / rest)).astype(int).tolist()
-            parts.append([(load, f"shard {s}") for s, load in enumerate(scaled)])
+        sizes = pdf["bytes"].to_numpy()
+        left = sizes[::-1].cumsum()[::-1]
+        level = np.minimum(levels - 1, np.log2(left[0] / left).astype(int))
         label = np.zeros(len(sizes), dtype=np.int32)
-        for place, (_, linked) in enumerate(difference(parts, shards)):
-            found = list(contents(linked))
-            shard = next((int(x[6:]) for x in found if isinstance(x, str)), place)
-            label[[x for x in found if not isinstance(x, str)]] = shard
+        for k in np.unique(level):
+            parts = [single(int(sizes[i]), int(i), shards) for i in np.flatnonzero(level == k)]
+            for place, (_, linked) in enumerate(difference(parts, shards)):
+                label[list(contents(linked))] = k * shards + place
         return pd.DataFrame({"group": pdf["group"], "bytes": pdf["bytes"], "cell": pdf["cell"], "label": label})
 
-    small = groups.where(F.col("bytes") <= large_from).groupBy("cell").applyInPandas(cell_shards, "group binary, bytes long, cell int, label int")
+    small = groups.where(F.col("bytes") <= large_from).groupBy("cell").applyInPandas(cell_pieces, "group binary, bytes long, cell int, label int")
     labelled = staged(small, "shard-labels")
-    shard_of = labelled.withColumn("shard", F.col("label"))
-    if not large:
-        loads = labelled.groupBy("cell", "label").agg(F.sum("bytes").alias("load")).collect()
-        bins = {}
-        for r in loads:
-            bins.setdefault(r["cell"], [0] * shards)[r["label"]] = r["load"]
-        final = difference([[(load, cell * shards + s) for s, load in enumerate(v)] for cell, v in sorted(bins.items())], shards)
-        where = [(x // shards, x % shards, s) for s, (_, linked) in enumerate(final) for x in contents(linked)]
-        # at most most_cells * shards small rows
-        places = spark.createDataFrame(where, "cell int, label int, shard int")
-        shard_of = labelled.join(F.broadcast(places), ["cell", "label"])
-    shard_of = shard_of.select("group", "shard")
+    loads = labelled.groupBy("cell", "label").agg(F.sum("bytes").alias("load")).collect()
+    items = [*large, *((r["load"], r["cell"] * levels * shards + r["label"]) for r in loads)]
+    items.sort(key=lambda x: (-x[0], isinstance(x[1], int), x[1]))
+    where, of_large = [], []
+    for shard, (_, linked) in enumerate(difference([single(load, x, shards) for load, x in items], shards)):
+        for x in contents(linked):
+            if isinstance(x, int):
+                where.append((*divmod(x, levels * shards), shard))
+            else:
+                of_large.append((bytearray(x), shard))
+    # at most most_cells * shards small rows
+    places = spark.createDataFrame(where, "cell int, label int, shard int")
+    shard_of = labelled.join(F.broadcast(places), ["cell", "label"]).select("group", "shard")
     if of_large:
         shard_of = shard_of.unionByName(spark.createDataFrame(of_large, "group binary, shard int"))
     bucket = F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit("slot")), F.lit(slot_buckets)).cast("int")

@@ -38,6 +38,18 @@ def test_cells_and_a_hot_group(spark):
     assert max(loads) - min(loads) <= 0.01 * sum(loads)
 
 
+def test_groups_beyond_a_cells_share_beside_a_hot_group(spark):
+    draw = random.Random(2)
+    rows = [(i, "hot " * 250) for i in range(100)] + [(i, f"{i} " + "m" * draw.randint(300, 370)) for i in range(100, 180)]
+    rows += [(i, f"{i} " + "t" * draw.randint(1, 60)) for i in range(180, 2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    loads = sorted(check(docs, sharding.by_bytes(docs, cell_groups=20)))
+    assert loads[-1] == 100 * 1001 and loads[-2] - loads[0] <= 0.005 * sum(loads[:-1])
+    few = docs.where("doc_id >= 95")
+    loads = check(few, sharding.by_bytes(few, cell_groups=20))
+    assert max(loads) - min(loads) <= 0.005 * sum(loads)
+
+
 def test_differencing_keeps_every_item():
     parts = [sharding.single(w, i, 3) for i, w in enumerate([8, 7, 6, 5, 4])]
     bins = sharding.difference(parts, 3)
