@@ -2,8 +2,9 @@
 
 For every DOM node its characters, tags, link characters and link tags are counted below it.
 A node's density is its characters per tag, multiplied by a logarithm whose base grows with
-the node's share of link characters, so that menus fall far below prose; a node's density
-sum adds up its children.  The node of the largest density sum is the centre of the article;
+the node's share of link characters, so that menus fall far below prose; where no link is left
+below the body, that logarithm has no base and the density is the characters per tag.  A node's
+density sum adds up its children.  The node of the largest density sum is the centre of the article;
 the smallest density on its path to the body is the threshold, and every node at or over the
 threshold marks the node of the largest density sum below it.  The article is the smallest
 subtree around all marked nodes, widened to an enclosing article or main element.
@@ -114,7 +115,9 @@ def measure(found: list[_Box]) -> None:
     link_share = body.link_chars / body.chars if body.chars else 0.0
     for box in reversed(found):
         c, t, lc, lt = box.chars, max(1, box.tags), max(1, box.link_chars), max(1, box.link_tags)
-        if c:
+        if c and not body.link_chars:
+            box.density = c / t
+        elif c:
             base = math.log(c / max(1, c - box.link_chars) * box.link_chars + link_share * c + math.e)
             ratio = (c / lc) * (t / lt)
             box.density = c / t * (math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else 0.0)

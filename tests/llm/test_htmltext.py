@@ -22,6 +22,14 @@ def test_nothing_in_an_article_is_dropped():
     assert htmltext.main_text("<body><p>Short one.<p>Two</body>") == "Short one.\nTwo"
 
 
+def test_text_beside_an_article_without_links():
+    prose = "<p>A first paragraph of prose, long enough to read.</p><p>A second one that goes on for a while.</p>"
+    for own in ("article", "main", "div"):
+        for menu in ("", "<nav><a href=1>one</a></nav>"):
+            page = f"<body>{menu}<div>tagline</div><{own}><h1>Head</h1>{prose}</{own}><div>Copyright</div></body>"
+            assert htmltext.main_text(page) == "Head\nA first paragraph of prose, long enough to read.\nA second one that goes on for a while."
+
+
 def test_corpus_articles(spark, sf):
     """Every article of the corpus against a plain reading of its markup."""
     for r in htmltext.extract(spark.read.parquet(f"{sf}/pages.parquet"), keep=("page_id", "html")).collect():
