@@ -4,14 +4,18 @@ For every DOM node its characters, tags, link characters and link tags are count
 A node's density is its characters per tag, multiplied by a logarithm whose base grows with
 the node's share of link characters, so that menus fall far below prose; where no link is left
 below the body, that logarithm has no base and the density is the characters per tag.  A node's
-density sum adds up its children.  The node of the largest density sum is the centre of the article;
-the smallest density on its path to the body is the threshold, and every node at or over the
+density sum adds up its children.  The node of the largest density sum is the centre of the
+article; the smallest density on its path to the body is the threshold, and every node at or over the
 threshold marks the node of the largest density sum below it.  The article is the smallest
 subtree around all marked nodes, widened to an enclosing article or main element.
 
 Elements that are no article by their name, role or class (menus, headers outside an article,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out
-before densities are counted.  In the article, each block-level element ends a block of text.
+before densities are counted.  A form, or an element named by its class or id, stays if it holds
+a main element, half of the characters of the page's articles, or without articles most of the
+body's; a name counts only if it stands for the element (not ``has-sidebar``, ``comments-open``,
+``ad-free``), and reader comments never stay for their length alone.  In the article, each
+block-level element ends a block of text.
 
 Defined results: a null or empty page, or one without text, has the empty text.  A page
 without markup is one block.  Nothing in the article is dropped or capped, and a page of any
@@ -32,7 +36,7 @@ from pagewright.functions.html_tree import BLOCKS, Node, parse
 
 # What is no article by element name, by role, and by a word of its class or id.
 OUTSIDE = frozenset(
-    "head script style noscript template nav aside footer form button select textarea input iframe object embed applet svg canvas dialog menu audio video map".split()
+    "head script style noscript template nav aside footer button select textarea input iframe object embed applet svg canvas dialog menu audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
@@ -41,30 +45,72 @@ WORDS = frozenset(
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar warning widget widgets".split()
 )
 KEPT = frozenset("html body article main".split())
+#: Words that make a name tell of a state of the element or of what it holds.
+STATES = frozenset("has with without no non open closed enabled disabled free".split())
+#: Reader comments may be longer than the article.
+READERS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 
 
-def outside(node: Node, in_article: bool) -> bool:
-    """Whether an element is no part of an article."""
+def outside(node: Node) -> bool:
+    """Whether an element is no part of an article, whatever it holds."""
     if node.tag in OUTSIDE:
         return True
-    if node.tag in KEPT:
-        return False
-    if node.tag == "header" and not in_article:
-        return True
-    if not node.attributes:
+    if node.tag in KEPT or not node.attributes:
         return False
     role = (node.get("role") or "").lower()
     if role in ROLES or node.get("hidden") is not None or (node.get("aria-hidden") or "").lower() == "true":
         return True
-    if "display:none" in (node.get("style") or "").lower().replace(" ", ""):
-        return True
-    named = f"{node.get('class') or ''} {node.get('id') or ''}"
-    if not named.strip():
-        return False
-    words = {w for part in re.split(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+", named) for w in [part.lower()] if w}
+    return "display:none" in (node.get("style") or "").lower().replace(" ", "")
+
+
+def named(node: Node) -> set[str]:
+    """The listed words that stand for an element in its class and id."""
+    found: set[str] = set()
+    if node.attributes:
+        for name in f"{node.get('class') or ''} {node.get('id') or ''}".split():
+            words = {part.lower() for part in re.split(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+", name) if part}
+            if words.isdisjoint(STATES):
+                found |= words & WORDS
+    return found
+
+
+def suspected(node: Node, in_article: bool) -> set[str]:
+    """The words for which an element is no part of an article, unless it holds the article."""
+    if node.tag in KEPT:
+        return set()
+    words = named(node)
     if node.tag == "header" or (in_article and node.tag in ("h1", "h2", "h3")):
         words -= {"header"}
-    return not words.isdisjoint(WORDS)
+    if node.tag == "form" or (node.tag == "header" and not in_article):
+        words |= {node.tag}
+    return words
+
+
+def holders(body: Node) -> dict[int, tuple[bool, bool]]:
+    """For each element that may stay: whether it holds the article, and most of the text.
+
+    The text is that of the page's articles or, without any, the body's.
+    """
+    order, stack = [], [(body, -1, False)]
+    while stack:
+        node, up, inside = stack.pop()
+        # articles named as comments and the like are none of the page's
+        own = node.tag == "main" or (node.tag == "article" and not named(node))
+        order.append((node, up, inside or own))
+        stack.extend((c, len(order) - 1, inside or own) for c in node.children if not isinstance(c, str) and not outside(c))
+    chars, articles, mains = [0] * len(order), [0] * len(order), [False] * len(order)
+    for i in range(len(order) - 1, -1, -1):
+        node, up, inside = order[i]
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        chars[i] += own
+        articles[i] += own if inside else 0
+        mains[i] = mains[i] or node.tag == "main"
+        if up >= 0:
+            chars[up] += chars[i]
+            articles[up] += articles[i]
+            mains[up] = mains[up] or mains[i]
+    share = articles if articles[0] else chars
+    return {id(x): (mains[i] or bool(not inside and 2 * articles[i] >= articles[0] > 0), 2 * share[i] > share[0]) for i, (x, _, inside) in enumerate(order)}
 
 
 class _Box:
@@ -82,13 +128,26 @@ def boxes(body: Node) -> list[_Box]:
     """The kept elements in page order, the body first."""
     top = _Box(body, None)
     found, stack = [top], [(top, False)]
+    held: dict[int, tuple[bool, bool]] = {}
+
+    def dropped(node: Node, in_article: bool) -> bool:
+        if outside(node):
+            return True
+        words = suspected(node, in_article)
+        if not words:
+            return False
+        if not held:
+            held.update(holders(body))
+        has_article, most = held[id(node)]
+        return not (has_article or (most and words.isdisjoint(READERS)))
+
     while stack:
         box, in_article = stack.pop()
         below = []
         for child in box.node.children:
             if isinstance(child, str):
                 box.parts.append(child)
-            elif not outside(child, in_article):
+            elif not dropped(child, in_article):
                 own = _Box(child, box)
                 box.parts.append(own)
                 below.append((own, in_article or child.tag in ("article", "main")))

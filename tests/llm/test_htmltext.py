@@ -30,6 +30,29 @@ def test_text_beside_an_article_without_links():
             assert htmltext.main_text(page) == "Head\nA first paragraph of prose, long enough to read.\nA second one that goes on for a while."
 
 
+def test_a_wrapper_of_the_article_stays():
+    prose = "<p>A first paragraph of prose, long enough to read.</p><p>A second one that goes on for a while.</p>"
+    text = htmltext.main_text(f"<body>{prose}</body>")
+    wrappers = ['div class="layout has-sidebar"', 'div class="post comments-open"', 'section class="ad-free"', "form", 'div id="page-header"', 'div class="widget"', 'header class="banner"']
+    for wrapper in wrappers:
+        for own in (prose, f"<article>{prose}</article>", f'<main><div class="sidebar">x y z</div>{prose}</main>'):
+            page = f'<body><{wrapper}>{own}<div class="sidebar">x y z</div></{wrapper.split()[0]}><div class="footer">foot</div></body>'
+            assert htmltext.main_text(page) == text, page
+    # every part of the page in a wrapper of its own, and the state of a part
+    post = '<div class="post comments-open"><p>{}</p></div>'
+    assert htmltext.main_text("<body>" + "".join(post.format(w * 60) for w in "abc") + "</body>").split("\n") == [w * 60 for w in "abc"]
+
+
+def test_what_is_no_article_goes_beside_it():
+    article = "<p>A paragraph of prose.</p><p>And another.</p>"
+    reader = '<article class="comment-body"><p>' + "A reader goes on and on. " * 20 + "</p></article>"
+    for own in (f"<article>{article}</article>", f"<div>{article}</div>"):
+        for other in (f'<div id="comments" class="comments-area">{reader * 3}</div>', '<div class="related"><article>Card</article></div>', "<form>Name <input></form>"):
+            assert htmltext.main_text(f"<body>{own}{other}</body>") == "A paragraph of prose.\nAnd another.", (own, other)
+        page = f'<body><article>{article}<div class="comments"><p>{"A reader goes on. " * 20}</p></div></article></body>'
+        assert htmltext.main_text(page) == "A paragraph of prose.\nAnd another."
+
+
 def test_corpus_articles(spark, sf):
     """Every article of the corpus against a plain reading of its markup."""
     for r in htmltext.extract(spark.read.parquet(f"{sf}/pages.parquet"), keep=("page_id", "html")).collect():
