@@ -80,9 +80,7 @@ def limit_of(domain: str) -> str:
 @query("SELECT row_number() OVER (ORDER BY page_id) AS seq, url FROM pages")
 def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds in file order (the order of page_id stands for the order of lines)."""
-    first = pages(spark, sf_dir).select("page_id", "url")
-    # ids count up from 0 without gaps in this seed table, so no global window is needed
-    return first.select((F.col("page_id") + 1).alias("seq"), "url")
+    return seeds.numbered(pages(spark, sf_dir).select("page_id", "url"), "page_id", "url").select("seq", "url")
 
 
 @query("SELECT seq, url FROM (SELECT row_number() OVER (ORDER BY page_id) AS seq, url FROM pages) WHERE seq > 100")

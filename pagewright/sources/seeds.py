@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import staged
+
 USER_AGENTS = "array<struct<ua:string,pct:double>>"
 
 
@@ -13,6 +15,25 @@ def seed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("url"))
 
 
+def numbered(seeds: DataFrame, *order: str) -> DataFrame:
+    """``seeds`` with their place by ``order``, from 1 and nulls last, as column seq.
+
+    Rows are dealt by range; a range's first number is the rows before it, from one count a
+    range, and a window numbers the rows inside one range.
+    """
+    by = [F.col(c).asc_nulls_last() for c in order]
+    # staged, as ranges that are drawn anew could differ between the count and the numbers
+    ranged = staged(seeds.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "seed-ranges")
+    first, before = [], 0
+    for r in sorted(ranged.groupBy("__range").count().collect()):
+        first.append((r["__range"], before))
+        before += r["count"]
+    starts = seeds.sparkSession.createDataFrame(first, "__range int, __first long")
+    inside = Window.partitionBy("__range").orderBy(*by)
+    placed = ranged.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(starts), "__range")
+    return placed.select((F.col("__first") + F.col("__place")).alias("seq"), *seeds.columns)
+
+
 def resumed(seeds: DataFrame, done: int) -> DataFrame:
     """Seeds (seq, url; seq from 1) after the first ``done``."""
     return seeds.where(F.col("seq") > done)

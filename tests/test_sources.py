@@ -1,6 +1,7 @@
 import http.server
 import threading
 
+from pagewright.plans import catalog
 from pagewright.sources.http_pages import HttpPages
 
 
@@ -33,3 +34,14 @@ def test_http_pages(spark):
     assert len(found["/big"]["html"]) == 2 * 1024 * 1024
     assert found["/bad"]["fetch_error"] == "invalid UTF-8" and found["/none"]["fetch_error"] == "status 404"
     assert found["/loop"]["fetch_error"] == "status 302"
+
+
+def test_seeds_are_numbered_by_their_order(spark, tmp_path):
+    """Ids with gaps, repeats, a null and another first id."""
+    ids = [7, 9, 9, 40, *range(100, 1000, 3), None]
+    rows = [(x, f"http://h{i}/", "") for i, x in enumerate(ids)]
+    spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(6).write.parquet(f"{tmp_path}/pages.parquet")
+    found = [(r["seq"], r["url"]) for r in catalog.QUERIES["seed_scan"](spark, str(tmp_path)).orderBy("seq").collect()]
+    assert found == [(i + 1, r[1]) for i, r in enumerate(rows)]
+    rest = [(r["seq"], r["url"]) for r in catalog.QUERIES["seed_resume"](spark, str(tmp_path)).orderBy("seq").collect()]
+    assert rest == found[100:]
