@@ -10,6 +10,7 @@ from pagewright.functions.urls import domain_of, is_institutional
 # Fixed values of the crawl.
 DOMAIN_LIMIT = 100
 QUEUE_CAPACITY = 10_000
+SKETCH_URLS = 1_000_000
 LEAST_LINKS, MOST_LINKS = 2, 20
 
 
@@ -102,19 +103,21 @@ def visit_counts(urls: DataFrame, column: str = "url") -> DataFrame:
     return urls.groupBy(domain_of(F.col(column)).alias("domain")).agg(F.count("*").alias("n"))
 
 
-def sketch_of(urls: DataFrame, bits: int = 1 << 20, hashes: int = 7, column: str = "url") -> DataFrame:
-    """A Bloom filter as the table of its set bits (column bit): at most ``bits`` rows.
+def sketch_bits(expected: int = SKETCH_URLS) -> int:
+    """Ten bits an expected URL, for ``SKETCH_URLS`` at least: with seven hashes about 1 % of false positives."""
+    return 10 * max(expected, SKETCH_URLS)
 
-    Seven hashes and ten bits an expected URL give about 1 % of false positives.
-    """
-    places = [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)).cast("int") for i in range(hashes)]
+
+def sketch_of(urls: DataFrame, bits: int = sketch_bits(), hashes: int = 7, column: str = "url") -> DataFrame:
+    """A Bloom filter as the table of its set bits (column bit): at most ``bits`` rows."""
+    places = [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(hashes)]
     return urls.select(F.explode(F.array(*places)).alias("bit")).distinct()
 
 
-def in_sketch(urls: DataFrame, sketch: DataFrame, hashes: int = 7, bits: int = 1 << 20, column: str = "url") -> DataFrame:
+def in_sketch(urls: DataFrame, sketch: DataFrame, hashes: int = 7, bits: int = sketch_bits(), column: str = "url") -> DataFrame:
     """``urls`` that the filter may hold: all of their bits are set.  It never misses a held URL."""
-    places = F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)).cast("int") for i in range(hashes)])
+    places = F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(hashes)])
     probes = urls.select(column).distinct().withColumn("bits", F.array_distinct(places))
     wanted = probes.select(column, F.size("bits").alias("wanted"), F.explode("bits").alias("bit"))
-    held = wanted.join(F.broadcast(sketch), "bit").groupBy(column, "wanted").agg(F.count("*").alias("held")).where("held = wanted")
+    held = wanted.join(sketch, "bit").groupBy(column, "wanted").agg(F.count("*").alias("held")).where("held = wanted")
     return urls.join(held.select(column), column, "left_semi")

@@ -381,7 +381,8 @@ def unvisited_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every visited URL is found again: a Bloom filter has no false negatives."""
     urls = pages(spark, sf_dir).select("url")
-    found = frontier.in_sketch(urls, frontier.sketch_of(urls)).select(F.lit(1).alias("hit"))
+    bits = frontier.sketch_bits(urls.count())
+    found = frontier.in_sketch(urls, frontier.sketch_of(urls, bits), bits=bits).select(F.lit(1).alias("hit"))
     both = urls.select(F.lit(0).alias("hit")).union(found)
     return both.agg(F.count(F.when(F.col("hit") == 0, 1)).alias("n"), F.count(F.when(F.col("hit") == 1, 1)).alias("hits"))
 

@@ -16,6 +16,16 @@ def test_visited_set(spark):
     assert "http://example.com" in {r["url"] for r in hits}
 
 
+def test_few_unheld_urls_pass_the_sketch(spark):
+    held, others = (spark.range(a, b).select(F.concat(F.lit("http://h/"), "id").alias("url")) for a, b in ((0, 200_000), (200_000, 210_000)))
+    assert frontier.in_sketch(others, frontier.sketch_of(held)).count() <= 200
+    assert frontier.in_sketch(held.limit(1000), frontier.sketch_of(held)).count() == 1000
+
+
+def test_sketch_grows_with_the_urls():
+    assert [frontier.sketch_bits(n) for n in (0, 1_000_000, 3_000_000)] == [10_000_000, 10_000_000, 30_000_000]
+
+
 def test_queue(spark):
     arrivals = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "url string, seq long")
     assert [r["url"] for r in frontier.bounded(1, arrivals, capacity=3).orderBy("seq").collect()] == ["a", "b"]
