@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pagewright.llm import jaccard
@@ -63,6 +64,47 @@ def test_components_match_all_pairs(spark, rule, settings):
     assert found == brute(rows, *rule)
 
 
+def boilerplate(draw, n):
+    """Documents of their own words around one long passage, and a few near copies of some of them."""
+    passage = " ".join(f"license{i}" for i in range(120))
+    texts = []
+    for i in range(n):
+        own = [f"w{draw.randrange(30_000)}" for _ in range(draw.randint(12, 60))]
+        texts.append(passage + " " + " ".join(own))
+        if i % 50 == 0:
+            own[3] = "changed"
+            texts.append(passage + " " + " ".join(own))
+    return list(enumerate(texts))
+
+
+def test_a_passage_of_many_documents(spark, monkeypatch):
+    """The pairs that are made stay in proportion to the documents that share a passage."""
+    made = {}
+    keep = jaccard.staged
+
+    def counted(df, name):
+        found = keep(df, name)
+        if name == "pairs":
+            made["pairs"] = made.get("pairs", 0) + found.count()
+        return found
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    rows = boilerplate(random.Random(5), 5000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.group(docs).collect()}
+    small = boilerplate(random.Random(5), 300)
+    assert {k: found[k] for k, _ in small if found[k] < len(small)} == {k: c for k, (_, c) in brute(small).items()}
+    assert made["pairs"] < 4 * len(rows)
+
+
+def test_bitmap_differs_in_no_more_bits_than_sets_in_tokens():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        both, a, b = (draw.integers(0, 2**63, draw.integers(0, 300), dtype=np.uint64) for _ in range(3))
+        x, y = (jaccard.bitmap(np.concatenate([both, own])) for own in (a, b))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a) + len(b)
+
+
 def test_one_of_each(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
