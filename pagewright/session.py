@@ -29,6 +29,15 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(f"{keep}/{home.name}", "zip", copy.parent))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Hand long texts to Python in batches of bounded rows and bytes, unless the session has
+    settings of its own: a batch is held by the executor and, as Arrow and as objects, by its worker."""
+    for name, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -39,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return context.getCheckpointDir().rstrip("/")
