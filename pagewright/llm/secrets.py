@@ -5,9 +5,13 @@ them, every maximal run of a character class (hexadecimal digits; base-64 charac
 least the window's length is a candidate.  A fold over the candidate's characters keeps the
 count of each character in the window and the sum of c * log2(c); moving on by a character
 changes two counts and adds two differences, so the window's Shannon entropy costs the same
-for every position.  Windows over the class's limit are joined into spans.  Candidates on the
-allow list (words without digits, digits alone, UUIDs, placeholders, runs of one character,
-alphabets) are left out, and so is an added span inside a base span.
+for every position.  A candidate with a window over the class's limit is a span as a whole, so
+that a secret is covered from its first character to its last.
+
+The allow list works on parts: its placeholder words, alphabets and eight equal characters are
+blanked out before candidates are sought, so they end a candidate and hide nothing beside them.
+A candidate without digits, without letters, or that is a UUID is left out, and so is an added
+span inside a base span.
 
 Offsets are in code points, ends exclusive.  A match's place is the length of what stands
 before it: the parts between the matches, from a split by the same pattern, and the matches.
@@ -61,14 +65,19 @@ CLASSES = (
     EntropyClass("entropy_base64", "A-Za-z0-9+/_=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", False, 20, 3.9),
 )
 #: A candidate that one of these matches is no secret.
-ALLOW = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|sample|placeholder|dummy|changeme|your[_-]",
-    r"(?i)0123456789|123456789a|abcdefghij",
-    r"(.)\1{7}",
-)
+ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+#: Parts of a text that belong to no secret, by their length; blanked out from the longest on.
+BLANKED = {
+    11: r"(?i)placeholder",
+    10: r"(?i)0123456789|123456789a|abcdefghij",
+    8: r"(?i)changeme",
+    7: r"(?i)example",
+    6: r"(?i)sample",
+    5: r"(?i)dummy|your[_-]",
+}
+#: So many equal characters are blanked out last.
+EQUAL = 8
+EQUAL_CHARACTERS = "A-Za-z0-9+/_=-"
 
 
 def _located(df: DataFrame, text: str, pattern: str, out: str, kind: str, rank: int, group: int = 0, least: int = 0, body: str | None = None) -> DataFrame:
@@ -89,11 +98,20 @@ def _located(df: DataFrame, text: str, pattern: str, out: str, kind: str, rank:
     return df.withColumnRenamed(matches, body).drop(values, gaps) if body else df.drop(matches, values, gaps)
 
 
-def _windows(kind: EntropyClass, rank: int, candidate: str, start: str) -> str:
-    """SQL for the spans of one candidate's windows over the limit.
+def _blanked(text: str, least: int, blanked: dict[int, str]) -> Column:
+    """The text with blanks in place of allowed parts, or nothing where it has no candidate."""
+    found = F.col(text)
+    for length, pattern in blanked.items():
+        found = F.regexp_replace(found, pattern, " " * length)
+    found = F.regexp_replace(found, rf"([{EQUAL_CHARACTERS}])\1{{{EQUAL - 1}}}", " " * EQUAL)
+    return F.when(F.col(text).rlike(f"[{EQUAL_CHARACTERS}]{{{least}}}"), found).otherwise(F.lit(""))
+
+
+def _over(kind: EntropyClass, candidate: str) -> str:
+    """SQL for whether one of a candidate's windows is over the limit.
 
-    In the state, ``n`` holds the count of each character of the alphabet in the window, ``sum``
-    the sum of c * log2(c); a from of -1 means that no span is open.
+    In the state, ``n`` holds the count of each character of the alphabet in the window and
+    ``sum`` the sum of c * log2(c).
     """
     w = kind.window
     # log2(w) - sum / w > bits
@@ -101,34 +119,24 @@ def _windows(kind: EntropyClass, rank: int, candidate: str, start: str) -> str:
     plog = f"array({', '.join('0D' if c < 2 else f'{c}D * log2({c}D)' for c in range(w + 2))})"
     chars = f"split({'lower(' + candidate + ')' if kind.fold else candidate}, '')"
     place = f"transform(slice({chars}, 1, length({candidate})), ch -> instr('{kind.alphabet}', ch))"
-    empty = f"named_struct('p', {place}, 'g', {plog})"
     # a character comes in at i (1-based) and one goes out at i - w
     come, go = "element_at(k.p, i)", f"if(i > {w}, element_at(k.p, i - {w}), 0)"
-    count_in = f"element_at(s.n, {come})"
+    count_in, count_out = f"element_at(s.n, {come})", f"element_at(s.n, {go})"
     added = f"element_at(k.g, {count_in} + 2) - element_at(k.g, {count_in} + 1)"
-    # when the same character comes and goes, the counts stay
-    count_out = f"element_at(s.n, {go})"
     taken = f"element_at(k.g, {count_out}) - element_at(k.g, {count_out} + 1)"
+    # when the same character comes and goes, the counts stay
     change = f"if({come} = {go}, 0D, {added} + if({go} = 0, 0D, {taken}))"
     counts = f"if({come} = {go}, s.n, transform(s.n, (c, j) -> c + if(j + 1 = {come}, 1, 0) - if(j + 1 = {go}, 1, 0)))"
-    hit = f"(i >= {w} AND s.sum + {change} < {limit})"
-    joined = f"(s.since >= 0 AND i - {w} <= s.until)"
-    closed = f"named_struct('start', {start} + s.since, 'rank', {rank}, 'stop', {start} + s.until, 'kind', '{kind.kind}')"
-    step = (
-        f"named_struct('n', {counts}, 'sum', s.sum + {change}, "
-        f"'since', if({hit} AND NOT {joined}, i - {w}, s.since), 'until', if({hit}, i, s.until), "
-        f"'spans', if({hit} AND s.since >= 0 AND NOT {joined}, array_append(s.spans, {closed}), s.spans))"
-    )
-    begin = f"named_struct('n', array_repeat(0, {len(kind.alphabet)}), 'sum', 0D, 'since', -1, 'until', -1, 'spans', cast(array() as {NONE}))"
-    finish = f"s -> if(s.since >= 0, array_append(s.spans, {closed}), s.spans)"
-    inner = f"aggregate(sequence(1, size(k.p)), {begin}, (s, i) -> {step}, {finish})"
+    # after the first hit nothing has to be counted any more
+    step = f"if(s.hit, s, named_struct('n', {counts}, 'sum', s.sum + {change}, 'hit', i >= {w} AND s.sum + {change} < {limit}))"
+    begin = f"named_struct('n', array_repeat(0, {len(kind.alphabet)}), 'sum', 0D, 'hit', false)"
     # the places and the logarithms are made once a candidate
-    return f"flatten(transform(array({empty}), k -> {inner}))"
+    return f"element_at(transform(array(named_struct('p', {place}, 'g', {plog})), k -> aggregate(sequence(1, size(k.p)), {begin}, (s, i) -> {step}, s -> s.hit)), 1)"
 
 
 def scan(
     df: DataFrame, text: str = "text", out: str = "__secret_spans", patterns: tuple[Pattern, ...] = PATTERNS, classes: tuple[EntropyClass, ...] = CLASSES,
-    allow: tuple[str, ...] = ALLOW,
+    allow: tuple[str, ...] = ALLOW, blanked: dict[int, str] = BLANKED,
 ) -> DataFrame:
     """``df`` with ``__secret_base`` (spans of the patterns) and ``out`` (all spans), sorted."""
     df = df.withColumn("__secret_text", F.coalesce(F.col(text), F.lit("")))
@@ -138,18 +146,20 @@ def scan(
         df = _located(df, "__secret_text", p.pattern, base[-1], p.kind, rank, p.group, p.least)
     df = df.withColumn("__secret_base", F.array_sort(F.concat(*base)) if base else F.expr(f"cast(array() as {NONE})")).drop(*base)
     added = []
+    if classes:
+        df = df.withColumn("__secret_blanked", _blanked("__secret_text", min(c.window for c in classes), blanked))
     for rank, kind in enumerate(classes, start=len(patterns)):
         runs, places = f"__secret_{kind.kind}_runs", f"__secret_{kind.kind}_at"
         pattern = f"(?<![{kind.characters}])[{kind.characters}]{{{kind.window},}}+"
-        df = _located(df, "__secret_text", pattern, places, kind.kind, rank, body=runs)
+        df = _located(df, "__secret_blanked", pattern, places, kind.kind, rank, body=runs)
         allowed = " OR ".join(f"c.run rlike r'{a}'" for a in allow) or "false"
-        pairs = f"filter(zip_with(`{runs}`, `{places}`, (run, a) -> named_struct('run', run, 'start', a.start)), c -> NOT ({allowed}))"
-        df = df.withColumn(f"{runs}_kept", F.when(F.size(runs) > 0, F.expr(pairs)))
-        found = f"flatten(transform(`{runs}_kept`, c -> {_windows(kind, rank, 'c.run', 'c.start')}))"
+        pairs = f"zip_with(`{runs}`, `{places}`, (run, a) -> named_struct('run', run, 'span', a))"
+        found = f"transform(filter({pairs}, c -> NOT ({allowed}) AND {_over(kind, 'c.run')}), c -> c.span)"
         added.append(f"__secret_{kind.kind}")
-        df = df.withColumn(added[-1], F.when(F.size(f"{runs}_kept") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as {NONE})")))
-        df = df.drop(runs, places, f"{runs}_kept")
+        df = df.withColumn(added[-1], F.when(F.size(runs) > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as {NONE})")))
+        df = df.drop(runs, places)
     if added:
+        df = df.drop("__secret_blanked")
         extra = F.concat(*added)
         inside = F.filter(extra, lambda a: ~F.exists("__secret_base", lambda b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"])))
         df = df.withColumn(out, F.array_sort(F.concat(F.col("__secret_base"), inside))).drop(*added)

@@ -5,6 +5,8 @@ The statements are written from the operators' definitions, with the production
 
 from __future__ import annotations
 
+import re
+
 from pagewright.llm import quality, secrets
 
 #: Words and the code points in them, for every document.
@@ -17,6 +19,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _characters(ranges: str) -> str:
+    """The characters of a pattern's class."""
+    return "".join(x for x in map(chr, range(128)) if re.match(f"[{ranges}]", x))
+
+
 def _secrets() -> str:
     located, rank = [], 0
     for p in secrets.PATTERNS:
@@ -29,24 +36,26 @@ def _secrets() -> str:
         )
         rank += 1
     added = []
+    blanked = "text"
+    for length, pattern in secrets.BLANKED.items():
+        blanked = f"regexp_replace({blanked}, {_quoted(pattern)}, repeat(' ', {length}), 'g')"
+    equal = "|".join(f"{re.escape(c)}{{{secrets.EQUAL}}}" for c in _characters(secrets.EQUAL_CHARACTERS))
+    blanked = f"regexp_replace({blanked}, {_quoted(equal)}, repeat(' ', {secrets.EQUAL}), 'g')"
     for c in secrets.CLASSES:
         pattern = _quoted(f"[{c.characters}]{{{c.window},}}")
-        allow = " OR ".join(f"regexp_matches(run, {_quoted(a)})" for a in secrets.ALLOW if "\\1" not in a)
-        repeated = "len(list_filter(range(1, length(run) - 6), lambda k: substr(run, k, 8) = repeat(substr(run, k, 1), 8))) > 0"
+        allow = " OR ".join(f"regexp_matches(run, {_quoted(a)})" for a in secrets.ALLOW)
         folded = "lower(run)" if c.fold else "run"
+        over = f"len(list_filter(range(1, length(run) - {c.window} + 2), lambda i: list_entropy(string_split(substr({folded}, i, {c.window}), '')) > {c.bits})) > 0"
         added.append(
-            f"""SELECT doc_id, '{c.kind}' AS kind, {rank} AS rank, origin + min(i) - 1 AS start, origin + max(i) - 1 + {c.window} AS stop, true AS added FROM (
-            SELECT *, sum(opens) OVER (PARTITION BY doc_id, origin ORDER BY i) AS island FROM (
-            SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, origin ORDER BY i) <= {c.window} THEN 0 ELSE 1 END AS opens FROM (
-            SELECT doc_id, origin, i FROM (SELECT doc_id, origin, {folded} AS run, unnest(range(1, length(run) - {c.window} + 2)) AS i FROM (
+            f"""SELECT doc_id, '{c.kind}' AS kind, {rank} AS rank, origin AS start, origin + length(run) AS stop, true AS added FROM (
             SELECT doc_id, m[j] AS run, list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS origin FROM (
-            SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, string_split_regex(text, {pattern}) AS g FROM docs)))
-            WHERE NOT ({allow} OR {repeated})) WHERE list_entropy(string_split(substr(run, i, {c.window}), '')) > {c.bits}))) GROUP BY doc_id, origin, island"""
+            SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, string_split_regex(text, {pattern}) AS g FROM blanked)))
+            WHERE NOT ({allow}) AND {over}"""
         )
         rank += 1
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{p.kind}' AND NOT added) AS n_{p.kind}" for p in secrets.PATTERNS)
     line = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
-    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS ({" UNION ALL ".join(located)}),
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), blanked AS (SELECT doc_id, {blanked} AS text FROM docs), base AS ({" UNION ALL ".join(located)}),
     extra AS ({" UNION ALL ".join(added)}),
     every AS (SELECT * FROM base UNION ALL SELECT * FROM extra e WHERE NOT EXISTS
     (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start <= e.start AND e.stop <= b.stop)),
@@ -66,7 +75,7 @@ _MIX = """WITH docs AS (SELECT doc_id, source, coalesce(strlen(text), 0) AS byte
 sizes AS (SELECT source, sum(bytes) AS bytes FROM docs GROUP BY source),
 rates AS (SELECT source, CASE WHEN bytes > 0 THEN pow(bytes, 0.5) * (SELECT sum(bytes) FROM sizes) / (SELECT sum(pow(bytes, 0.5)) FROM sizes WHERE bytes > 0) / bytes ELSE 0 END AS rate FROM sizes),
 terms AS (SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) ELSE CASE WHEN k = 0 THEN 1 ELSE 0 END END AS p
-FROM rates, (SELECT unnest(range(0, 200)) AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 12)),
+FROM rates, (SELECT unnest(range(0, (SELECT CAST(ceil(max(rate + 12 * sqrt(rate) + 12)) AS BIGINT) + 1 FROM rates))) AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 12)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 drawn AS (SELECT doc_id, source, CAST('0x' || substr(md5('mixture:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM docs),
 counted AS (SELECT d.doc_id, d.source, count(*) FILTER (WHERE c.c <= d.u) AS copies FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id, d.source)
