@@ -7,8 +7,8 @@ the seed and the document's id.  The document is exploded into its copies, and a
 seed, id and copy number deals the copies to tasks and orders them there, which is a uniform
 shuffle over all documents.
 
-The distribution function of a source is tabulated once, in logarithms, far enough for its
-last value to round to 1, so a document needs one comparison with a short array.
+The distribution function of a source is tabulated once, 12 deviations to either side of its
+mean, where it rounds to 0 and 1, so a document needs one comparison with a short array.
 
 Defined results: a null source is a source of its own; a null text has no bytes (a source of
 such texts only has rate 0).  A null id counts as the empty text; rows with equal ids get
@@ -18,14 +18,18 @@ are; working columns begin with ``__mix``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.session import staged
 
-#: Sources up to which the table of distributions is broadcast; beyond, it is joined by a
-#: shuffle, whose hot sources adaptive execution splits.
-BROADCAST_SOURCES = 10_000
+#: Numbers in the table of distributions up to which it is broadcast (8 MB); beyond, it is
+#: joined by a shuffle, whose hot sources adaptive execution splits.
+BROADCAST_NUMBERS = 1_000_000
+#: Terms of a distribution that are summed in one go.
+ROW = 128
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -34,17 +38,36 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_table(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, ... as an array, up to 12 deviations past the mean."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int")
-    begin = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function from 1 on, to 15 digits: Stirling's series at x + 8."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9)
+    below = x
+    for k in range(1, 8):
+        below = below * (x + k)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(below)
+
 
-    def step(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log_p.alias("log_p"), F.array_append(state["cdf"], F.element_at(state["cdf"], -1) + F.exp(log_p)).alias("cdf"))
+def poisson_table(rate: Column) -> tuple[Column, Column]:
+    """first and cdf: the distribution function at first, first + 1, ...
 
-    table = F.aggregate(F.sequence(F.lit(1), last), begin, step, lambda state: state["cdf"])
-    return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
+    The table covers 12 deviations on either side of the mean; beyond, the distribution is 0 or
+    1 in doubles.  So its length grows with the root of the rate.  Terms come from the logarithm
+    of the gamma function; the sums are a running total, a block of ``ROW`` terms at a time.
+    """
+    spread = 12 * F.sqrt(rate) + 12
+    first = F.greatest(F.floor(rate - spread), F.lit(0)).cast("long")
+    last = F.ceil(rate + spread).cast("long")
+    log_p = lambda k: k * F.log(rate) - rate - log_gamma(k + 1)
+    block = lambda start: F.sequence(start, F.least(start + ROW - 1, last))
+    terms = F.transform(F.sequence(first, last, F.lit(ROW).cast("long")), lambda s: F.transform(block(s), lambda k: F.exp(log_p(k.cast("double")))))
+    # what the blocks before hold, and the running total inside a block
+    totals = F.transform(terms, lambda t: F.aggregate(t, F.lit(0.0), lambda x, y: x + y))
+    before = lambda t, i: F.aggregate(F.slice(t, F.lit(1), i), F.lit(0.0), lambda x, y: x + y)
+    made = F.transform(F.array(F.struct(terms.alias("terms"), totals.alias("totals"))), lambda m: F.flatten(
+        F.transform(m["terms"], lambda t, b: F.transform(t, lambda _, i: before(m["totals"], b) + before(t, i + 1)))
+    ))
+    return first, F.when(rate > 0, F.element_at(made, 1)).otherwise(F.array(F.lit(1.0)))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, flatten: float, total: float, text: str, source: str) -> DataFrame:
@@ -78,12 +101,17 @@ def mix(
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     sources = rates(docs, weights, flatten, total, text, source)
-    table = sources.select("__mix_source", poisson_table(F.col("__mix_rate")).alias("__mix_cdf"))
-    table = F.broadcast(table) if sources.count() <= BROADCAST_SOURCES else table
+    first, cdf = poisson_table(F.col("__mix_rate"))
+    table = staged(sources.select("__mix_source", first.alias("__mix_first"), cdf.alias("__mix_cdf")), "mix-tables")
+    numbers = table.agg(F.sum(F.size("__mix_cdf"))).first()[0] or 0
+    table = F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
     kept = docs.select(*dict.fromkeys([*carry, key, source]))
     joined = kept.join(table, kept[source].eqNullSafe(table["__mix_source"]))
     draw = uniform(seed, F.col(key))
-    counted = joined.withColumn("__mix_copies", F.size(F.filter("__mix_cdf", lambda c: c <= draw)))
+    # the lambda gets all it needs as its argument: Catalyst pushes filters by the columns outside of lambdas
+    own = F.array(F.struct(F.col("__mix_first").alias("first"), F.col("__mix_cdf").alias("cdf"), draw.alias("u")))
+    number = F.element_at(F.transform(own, lambda t: t["first"].cast("int") + F.size(F.filter(t["cdf"], lambda c: c <= t["u"]))), 1)
+    counted = joined.withColumn("__mix_copies", number)
     copies = counted.where(F.col("__mix_copies") > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__mix_copy")))
     ordered = copies.withColumn("__mix_order", order).select(*carry, "__mix_copy", "__mix_copies", "__mix_order")

@@ -18,13 +18,33 @@ def test_counts_follow_the_poisson_distribution(spark):
     assert len(set(orders)) == len(orders)
 
 
+def table(spark, rate):
+    return tuple(spark.range(1).select(*mixing.poisson_table(F.lit(rate))).first())
+
+
 def test_inverse_is_exact(spark):
-    table = spark.range(1).select(mixing.poisson_table(F.lit(2.5)).alias("t")).first()["t"]
-    total = 0.0
-    for k, value in enumerate(table[:20]):
-        total += math.exp(-2.5) * 2.5**k / math.factorial(k)
-        assert abs(value - total) < 1e-12
-    assert abs(spark.range(1).select(mixing.poisson_table(F.lit(2000.0)).alias("t")).first()["t"][-1] - 1) < 1e-9
+    for rate in (0.01, 2.5, 90.0, 700.0):
+        first, cdf = table(spark, rate)
+        total, exact = 0.0, {}
+        for k in range(first + len(cdf)):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            exact[k] = total
+        assert all(abs(value - exact[first + i]) < 1e-11 for i, value in enumerate(cdf)) and first + len(cdf) > rate
+
+
+def test_table_of_a_large_rate_is_short(spark):
+    first, cdf = table(spark, 1e6)
+    assert len(cdf) < 25 * 1000 and cdf[0] < 1e-20 and abs(cdf[-1] - 1) < 1e-8
+    half = first + sum(c <= 0.5 for c in cdf)
+    assert abs(half - 1e6) < 3
+
+
+def test_one_document_of_a_rare_source_is_repeated(spark):
+    rows = [(0, "short text", "rare")] + [(i, "longer text of the large source " * 40, "large") for i in range(1, 3001)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), flatten=0.0)
+    n = mixed.where("source = 'rare'").count()
+    rate = (10 + 3000 * 1280) / 2 / 10
+    assert abs(n - rate) < 6 * math.sqrt(rate)
 
 
 def test_same_copies_whatever_the_partitions(spark, sf):
