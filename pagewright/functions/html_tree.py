@@ -37,6 +37,8 @@ ENDS = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+CELLS = frozenset("td th caption table".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot td th".split())
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)(?P<end>>|\Z)"
@@ -84,11 +86,26 @@ class _Builder:
         self.head = Node("head", {}, self.html)
         self.body: Node | None = None
         self.open: list[Node] = []  # below head or body
+        self.at: dict[str, list[int]] = {}  # where in ``open`` elements of a name are
 
     def start_body(self, values: dict[str, str]) -> None:
         if self.body is None:
             self.body = Node("body", values, self.html)
-            self.open = []
+            self.cut(0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close all open elements from a place on."""
+        for node in self.open[place:]:
+            self.at[node.tag].pop()
+        del self.open[place:]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element with one of the names, or -1."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
 
     def top(self) -> Node:
         return self.open[-1] if self.open else self.body or self.head
@@ -106,15 +123,12 @@ class _Builder:
 
     def end(self, tags: set[str] | frozenset[str], fence: set[str]) -> None:
         """Close the nearest open element named in ``tags`` unless one of ``fence`` is nearer."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag in tags:
-                outer = i
-                while outer and self.open[outer - 1].tag in tags and len(tags) > 2:
-                    outer -= 1
-                del self.open[outer:]
-                return
-            if self.open[i].tag in fence:
-                return
+        outer = self.nearest(tags)
+        if outer < 0 or self.nearest(fence - tags) > outer:
+            return
+        while outer and self.open[outer - 1].tag in tags and len(tags) > 2:
+            outer -= 1
+        self.cut(outer)
 
     def start(self, tag: str, values: dict[str, str]) -> bool:
         """Open an element; whether it can have content."""
@@ -132,7 +146,7 @@ class _Builder:
         if tag in CLOSES_P:
             self.end({"p"}, {"button", "table", "td", "th", "caption", "object", "template", "marquee", "applet"})
         if re.fullmatch("h[1-6]", tag) and self.open and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag == "a":
             self.end({"a"}, {"table", "td", "th", "caption", "object", "template", "marquee", "applet"})
         if tag in ENDS:
@@ -140,18 +154,18 @@ class _Builder:
         node = Node(tag, values, self.top())
         if tag in VOID:
             return False
-        self.open.append(node)
+        self.push(node)
         return True
 
     def close(self, tag: str) -> None:
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if tag == "p" and self.nearest(("p",)) < 0:
             self.start("p", {})
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "caption", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                return
+        place = self.nearest((tag,))
+        if place < 0:
+            return
+        if tag not in TABLE_PARTS and self.nearest(CELLS) > place:
+            return
+        self.cut(place)
 
 
 def parse(source: str) -> Node:
@@ -184,7 +198,7 @@ def parse(source: str) -> Node:
             content = source[at : stop.start() if stop else n]
             if content:
                 builder.text(content if tag in RAW else unescape(content))
-            builder.open.pop()
+            builder.cut(len(builder.open) - 1)
             at = stop.end() if stop else n
     builder.start_body({})
     return builder.html

@@ -30,6 +30,16 @@ def normalised(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def without_raw_text(html: Column) -> Column:
+    """The page without comments and without elements whose content is no markup."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|textarea|iframe|xmp)\b[^>]*>.*?</\1\s*>", "")
+
+
+def native_titles(html: Column) -> Column:
+    """The raw contents of all title elements, one a line."""
+    return F.array_join(F.regexp_extract_all(html, F.lit("(?is)<title[^>]*>(.*?)</title>"), F.lit(1)), "\n")
+
+
 def native_title(html: Column) -> Column:
     """The raw content of the first title element."""
     return F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from pagewright.functions.urls import SOCIAL_HOSTS, Url, hostname, parse_url, re
 NOT_ENGLISH = "non-English content"
 FILTERED = "filtered title"
 BAD_URL = "invalid URL"
+# The error texts above, and the elements whose text nobody sees.
 SILENT = frozenset(("script", "style", "noscript", "template"))
 
 _text, _list = T.StringType(), T.ArrayType(T.StringType())
@@ -195,9 +196,12 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def link_rows(extracted: DataFrame) -> DataFrame:
-    """One row per link: page_id, kind, pos (0-based inside its kind), link."""
-    sides = [
-        extracted.select("page_id", F.lit(kind).alias("kind"), F.posexplode(f"{kind}_links").alias("pos", "link"))
-        for kind in ("internal", "external")
-    ]
-    return sides[0].unionByName(sides[1])
+    """One row per link: page_id, kind, pos (0-based inside its kind), link.
+
+    Both kinds come from one generator, so a page is parsed once.
+    """
+
+    def side(kind: str) -> Column:
+        return F.transform(f"{kind}_links", lambda link, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), link.alias("link")))
+
+    return extracted.select("page_id", F.inline(F.concat(side("internal"), side("external"))))

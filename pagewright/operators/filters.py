@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import decoded, has_filtered_term, is_english, native_lang, native_title
+from pagewright.functions.text import decoded, has_filtered_term, is_english, native_lang, native_title, native_titles, without_raw_text
 from pagewright.operators.extract import BAD_URL, FILTERED, NOT_ENGLISH
 
 MOST_BYTES = 2 * 1024 * 1024
@@ -17,18 +17,25 @@ def truncated(body: Column, most: int = MOST_BYTES) -> Column:
     return F.substring(body, 1, most)
 
 
+def is_utf8(body: Column) -> Column:
+    """Whether bytes are whole characters; the cast keeps the bytes as they are."""
+    return F.is_valid_utf8(body.cast("string"))
+
+
 def page_status(pages: DataFrame) -> DataFrame:
     """``fetch_error`` of every page by native gates, first failure first; '' where it passes.
 
-    The gates read the raw page, so they run before any Python and prune what reaches it.
+    The gates read the raw page, so they run before any Python and prune what reaches it.  They
+    are a prefilter: what they let through is tested once more on the tree.
     """
     body = F.encode("html", "UTF-8")
+    markup = without_raw_text(F.col("html"))
     url_ok = F.coalesce(F.regexp_replace("url", "^https?://", "").rlike(r"^[^\s/?#]"), F.lit(False))
     reason = (
         F.when(~url_ok, BAD_URL)
-        .when(~F.is_valid_utf8(F.decode(truncated(body), "UTF-8")), "invalid UTF-8")
-        .when(~is_english(native_lang(F.col("html"))), NOT_ENGLISH)
-        .when(has_filtered_term(native_title(F.col("html"))), FILTERED)
+        .when(~is_utf8(truncated(body)), "invalid UTF-8")
+        .when(~is_english(native_lang(markup)), NOT_ENGLISH)
+        .when(has_filtered_term(native_titles(markup)), FILTERED)
         .otherwise("")
     )
     return pages.withColumn("fetch_error", reason)

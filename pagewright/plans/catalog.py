@@ -49,7 +49,8 @@ def page_literal(spark: SparkSession, *htmls: str, url: str = "https://example.c
 
 
 def links_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_rows(extract_pages(pages(spark, sf_dir), fields=("internal_links", "external_links")))
+    """Links of the pages that the native gates let through; no other page is parsed."""
+    return link_rows(extract_pages(filters.accepted(pages(spark, sf_dir)), fields=("internal_links", "external_links")))
 
 
 # What the reference's gates accept, and the links of accepted pages, as SQL.
@@ -126,6 +127,15 @@ def redirect_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.follow_redirects(hops, requests)
 
 
+@query("""SELECT * FROM (VALUES ('one byte a character', true), ('cut inside a character', false), ('short', true)) t(name, whole)""")
+def utf8_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies longer than the limit, cut at it."""
+    most = filters.MOST_BYTES
+    bodies = spark.createDataFrame([("one byte a character", "a", most + 9), ("cut inside a character", "é", most), ("short", "é", 5)], "name string, c string, n int")
+    body = F.encode(F.concat(F.lit("a"), F.repeat("c", F.col("n"))), "UTF-8")
+    return bodies.select("name", filters.is_utf8(filters.truncated(body)).alias("whole"))
+
+
 # --- URL functions ---
 
 

@@ -31,17 +31,20 @@ def domain_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy(domain_of(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-def drained(result: DataFrame, mode: str) -> DataFrame:
+def drained(result: DataFrame, mode: str, name: str | None = None) -> DataFrame:
     """Run a streaming result over all that has arrived, into the shared folder, and read it.
 
-    The checkpoint beside the output is where a restarted query would go on.
+    With a ``name`` the checkpoint and the rows keep their place, so a later call goes on where
+    the last one ended.  A batch that is run again replaces its own rows: each has a folder of
+    its own, and of a complete result only the newest counts.
     """
     spark = result.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{name or uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+        folder = "rows" if mode == "complete" else f"rows/batch={number}"
+        batch.write.mode("overwrite").parquet(f"{at}/{folder}")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{at}/rows")
+    return spark.read.schema(result.schema).parquet(f"{at}/rows").select(*result.columns)

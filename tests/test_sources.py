@@ -45,3 +45,18 @@ def test_seeds_are_numbered_by_their_order(spark, tmp_path):
     assert found == [(i + 1, r[1]) for i, r in enumerate(rows)]
     rest = [(r["seq"], r["url"]) for r in catalog.QUERIES["seed_resume"](spark, str(tmp_path)).orderBy("seq").collect()]
     assert rest == found[100:]
+
+
+def test_named_stream_goes_on_and_repeats_no_batch(spark, tmp_path):
+    import uuid
+
+    from pagewright.streaming import visited
+
+    rows = lambda *ids: spark.createDataFrame([(i, f"https://h/{i}") for i in ids], "page_id long, url string")
+    rows(1, 2).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    name, schema = f"test-{uuid.uuid4().hex}", "page_id long, url string"
+    stream = lambda: visited.first_sights(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
+    assert sorted(r["page_id"] for r in visited.drained(stream(), "append", name).collect()) == [1, 2]
+    rows(2, 3).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    assert sorted(r["page_id"] for r in visited.drained(stream(), "append", name).collect()) == [1, 2, 3]
+    assert sorted(r["page_id"] for r in visited.drained(stream(), "append", name).collect()) == [1, 2, 3]
