@@ -1,21 +1,23 @@
 """Main-text extraction by composite text density.
 
 For every DOM node its characters, tags, link characters and link tags are counted below it.
-A node's density is its characters per tag, multiplied by a logarithm whose base grows with
-the node's share of link characters, so that menus fall far below prose; where no link is left
-below the body, that logarithm has no base and the density is the characters per tag.  A node's
-density sum adds up its children.  The node of the largest density sum is the centre of the
-article; the smallest density on its path to the body is the threshold, and every node at or over the
-threshold marks the node of the largest density sum below it.  The article is the smallest
-subtree around all marked nodes, widened to an enclosing article or main element.
-
-Elements that are no article by their name, role or class (menus, headers outside an article,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out
-before densities are counted.  A form, or an element named by its class or id, stays if it holds
-a main element, half of the characters of the page's articles, or without articles most of the
-body's; a name counts only if it stands for the element (not ``has-sidebar``, ``comments-open``,
-``ad-free``), and reader comments never stay for their length alone.  In the article, each
-block-level element ends a block of text.
+A node's density is its characters per tag, multiplied by a logarithm whose base (at least e)
+grows with the node's share of link characters, so that menus fall far below prose; where no
+link is left below the body, the density is the characters per tag.  A node's density sum adds
+up its children.  The node of the largest density sum is the centre; the smallest density on its
+path to the body is the threshold, and every node at or over the threshold marks the node of the
+largest density sum below it.  The article is the smallest subtree around the centre that holds
+``SHARE`` of the characters outside links of all marked nodes; if it is most of an enclosing
+article or main element, it is that element, with its headings.  Inside it, a block of links
+whose density is under the threshold is a menu and goes.
+
+Elements that are no article by their tag or role (menus, footers, adverts, forms, scripts,
+styles) are taken out before densities are counted.  Names are a supplement: an element goes by
+its class or id only if all words of a name are listed or say nothing (``site-footer``, not
+``share-price`` or ``has-sidebar``).  A form, or an element named by its
+class or id, stays if it holds a main element, half of the characters of the page's articles, or
+without articles most of the body's; reader comments never stay for their length alone.  In the
+article, each block-level element ends a block of text.
 
 Defined results: a null or empty page, or one without text, has the empty text.  A page
 without markup is one block.  Nothing in the article is dropped or capped, and a page of any
@@ -45,8 +47,15 @@ WORDS = frozenset(
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar warning widget widgets".split()
 )
 KEPT = frozenset("html body article main".split())
-#: Words that make a name tell of a state of the element or of what it holds.
-STATES = frozenset("has with without no non open closed enabled disabled free".split())
+#: Words that may stand beside a listed one and say nothing of what an element holds.
+NEUTRAL = frozenset(
+    "site page main top bottom left right container wrapper wrap box list bar area block inner outer link links button buttons btn item items row "
+    "col column primary secondary global mobile desktop post posts article body group holder panel form text js id the".split()
+)
+#: Of the marked characters, what the article must hold.
+SHARE = 0.75
+#: A block with so many links, and this share of its characters in them, may be a menu.
+MENU_LINKS, MENU_SHARE = 3, 0.75
 #: Reader comments may be longer than the article.
 READERS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 
@@ -69,7 +78,7 @@ def named(node: Node) -> set[str]:
     if node.attributes:
         for name in f"{node.get('class') or ''} {node.get('id') or ''}".split():
             words = {part.lower() for part in re.split(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+", name) if part}
-            if words.isdisjoint(STATES):
+            if words <= WORDS | NEUTRAL:
                 found |= words & WORDS
     return found
 
@@ -179,22 +188,15 @@ def measure(found: list[_Box]) -> None:
         elif c:
             base = math.log(c / max(1, c - box.link_chars) * box.link_chars + link_share * c + math.e)
             ratio = (c / lc) * (t / lt)
-            box.density = c / t * (math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else 0.0)
+            box.density = c / t * (math.log(ratio) / max(1.0, math.log(base)) if ratio > 1 and base > 1 else 0.0)
         if box.parent is not None:
             box.parent.density_sum += box.density
 
 
-def article(found: list[_Box]) -> _Box | None:
-    """The subtree that holds the article."""
+def article(found: list[_Box]) -> tuple[_Box, float] | None:
+    """The subtree that holds the article, and the threshold."""
     if not found[0].chars:
         return None
-    last: dict[int, int] = {}
-    for i in range(len(found) - 1, -1, -1):  # where each subtree ends in page order
-        end = i + 1
-        for part in found[i].parts:
-            if not isinstance(part, str):
-                end = last[id(part)]
-        last[id(found[i])] = end
     place = {id(b): i for i, b in enumerate(found)}
     centre = max(found, key=lambda b: (b.density_sum, -place[id(b)]))
     threshold, at = centre.density, centre
@@ -206,38 +208,38 @@ def article(found: list[_Box]) -> _Box | None:
         up = place[id(found[i].parent)]
         if found[best[i]].density_sum >= found[best[up]].density_sum:
             best[up] = best[i]
-    marked, i = [], 0
-    while i < len(found):
-        box = found[i]
+    marked = [False] * len(found)
+    for i, box in enumerate(found):
         if box.chars and box.density >= threshold:
-            chosen = found[best[i]]
-            marked.append(chosen if chosen.density_sum > 0 else box)
-            if chosen is box or chosen.density_sum == 0:
-                i = last[id(box)]
-                continue
-        i += 1
-    top = marked[0] if marked else centre
-    for box in marked[1:]:
-        a, b = top, box
-        up = set()
-        while a is not None:
-            up.add(id(a))
-            a = a.parent
-        while id(b) not in up:
-            b = b.parent
-        top = b
-    at = top
-    while at is not None:
-        if at.node.tag in ("article", "main"):
+            marked[best[i] if found[best[i]].density_sum > 0 else i] = True
+    # marked characters outside links at or below each node; what is below a marked node counts once
+    held = [0] * len(found)
+    for i in range(len(found) - 1, -1, -1):
+        if marked[i]:
+            held[i] = found[i].chars - found[i].link_chars
+        if i:
+            held[place[id(found[i].parent)]] += held[i]
+    top = centre
+    while top.parent is not None and held[place[id(top)]] < SHARE * held[0]:
+        top = top.parent
+    for tag in ("main", "article"):
+        at = top
+        while at is not None and at.node.tag != tag:
+            at = at.parent
+        if at is not None and 2 * (top.chars - top.link_chars) >= at.chars - at.link_chars:
             top = at
-        at = at.parent
-    # a block inside the article is widened to what surrounds it
+    # a line or a block without blocks is widened to what surrounds it
     while top.parent is not None and top.node.tag not in ("article", "main") and (top.node.tag not in BLOCKS or not any(not isinstance(p, str) and p.node.tag in BLOCKS for p in top.parts)):
         top = top.parent
-    return top
+    return top, threshold
 
 
-def blocks(top: _Box) -> list[str]:
+def menu(box: _Box, threshold: float) -> bool:
+    """Whether a block inside the article is a list of links."""
+    return box.density < threshold and box.node.tag in BLOCKS and box.link_tags >= MENU_LINKS and box.link_chars >= MENU_SHARE * box.chars
+
+
+def blocks(top: _Box, threshold: float = 0.0) -> list[str]:
     """The texts between block boundaries, white space collapsed."""
     found: list[str] = []
     run: list[str] = []
@@ -257,6 +259,8 @@ def blocks(top: _Box) -> list[str]:
             run.append(x)
         elif x.node.tag == "br":
             run.append(" ")
+        elif x is not top and menu(x, threshold):
+            end()
         else:
             block = x.node.tag in BLOCKS
             if block:
@@ -274,8 +278,8 @@ def main_text(html: str | None) -> str:
     body = next(c for c in parse(html).children if not isinstance(c, str) and c.tag == "body")
     found = boxes(body)
     measure(found)
-    top = article(found)
-    return "\n".join(blocks(top)) if top else ""
+    chosen = article(found)
+    return "\n".join(blocks(*chosen)) if chosen else ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -69,3 +69,65 @@ def test_odd_pages(spark):
     found = {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()}
     assert [found[i] for i in range(9)] == ["", "", "", "plain text", "<", "", "deep", "", "a — b\na — b\na — b"]
     assert len(found[9]) == 249_999 and htmltext.extract(rows.limit(0)).count() == 0
+
+
+PROSE = "<p>Prose that goes on for a good while, long enough to be read as text.</p>"
+MENU = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(30))
+
+
+def test_density_decides_where_names_say_nothing():
+    line, link = re.sub("<.*?>", "", PROSE), "<p>and <a href=x>one</a></p>"
+    stray = f'<body><div class="z">A stray line</div><article><h1>H</h1>{PROSE * 3}{link}</article><div class="z">Copyright 2020</div></body>'
+    assert htmltext.main_text(stray).split("\n") == ["H", line, line, line, "and one"]
+    assert htmltext.main_text(f'<body><main><div class="q"><ul>{MENU}</ul></div><h1>H</h1>{PROSE * 3}</main></body>').split("\n") == ["H", line, line, line]
+    beside = f'<body><div class="a"><ul>{MENU}</ul></div><div class="b"><div>{PROSE * 4}</div></div><div class="c">{"<a href=q>w</a> " * 20}</div></body>'
+    assert htmltext.main_text(beside).split("\n") == [line] * 4
+
+
+def test_names_take_no_prose_for_a_listed_word():
+    line = re.sub("<.*?>", "", PROSE)
+    parts = "".join(f'<div class="{name}">{PROSE}</div>' for name in ("widget-guide", "share-price", "BannerStory"))
+    page = f'<body><article><h1>H</h1>{PROSE}{parts}<section id="warning-colours">{PROSE}</section><div class="share-buttons">Share</div></article></body>'
+    assert htmltext.main_text(page).split("\n") == ["H", *[line] * 5]
+
+
+def test_articles_are_found_by_density_alone(spark, sf):
+    """The corpus with all telling names taken away."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", x.replace(' class="ad"', "")) for x in pages]
+    assert sum(htmltext.main_text(a) == htmltext.main_text(b) for a, b in zip(pages, plain, strict=True)) >= 0.9 * len(pages)
+
+
+def test_densities_match_the_formula():
+    """Every node's density and density sum, counted anew for each node from its whole subtree."""
+    from math import e, log
+
+    pages = [f"<body>{PROSE * 2}<div><ul>{MENU}</ul><p>x <a href=1>yy</a></p></div></body>", f"<body><div>{PROSE}</div><div>t<b>u</b></div></body>", "<body>a</body>"]
+    for page in pages:
+        found = htmltext.boxes(next(c for c in htmltext.parse(page).children if not isinstance(c, str) and c.tag == "body"))
+        htmltext.measure(found)
+
+        def counts(node):
+            below = [x for x in node.walk() if x is not node]
+            size = lambda n: sum(len("".join(x.split())) for x in n.walk() if isinstance(x, str))
+            tags = [x for x in below if not isinstance(x, str)]
+            links = [x for x in tags if x.tag == "a"]
+            return size(node), len(tags), size(node) if node.tag == "a" else sum(map(size, links)), len(links)
+
+        whole = counts(found[0].node)
+
+        def density(node):
+            c, t, lc, lt = counts(node)
+            if not c or not whole[2]:
+                return c / max(1, t)
+            base = log(c / max(1, c - lc) * lc + whole[2] / whole[0] * c + e) if lc else log(c / max(1, c - 1) * 1 + whole[2] / whole[0] * c + e)
+            ratio = (c / max(1, lc)) * (max(1, t) / max(1, lt))
+            return c / max(1, t) * (log(ratio) / max(1.0, log(base)) if ratio > 1 else 0.0)
+
+        for box in found:
+            if box.link_chars:
+                assert abs(box.density - density(box.node)) < 1e-9
+            children = [p for p in box.parts if not isinstance(p, str)]
+            assert abs(box.density_sum - sum(c.density for c in children)) < 1e-9
+            if not whole[2]:
+                assert box.density == density(box.node)
