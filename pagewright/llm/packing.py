@@ -9,9 +9,12 @@ Sequences that are still open when a task ends are joined into one run of tokens
 into full sequences, and the last remainder into powers of two, which need no padding.
 
 Defined results: a null text is the empty text; every document ends with the id 0, so an
-empty one is a piece of one token.  Repeated rows are packed as often as they occur.  An
-empty table gives no piece.  Memory is bounded by one document, the open sequences (at most
-``capacity`` tokens for each of about ``2 * sqrt(capacity)`` classes) and the word cache.
+empty one is a piece of one token.  The name of a special token in a text, such as
+``<|endoftext|>``, is that token, as the vocabulary's own encoder has it; a text with one goes
+through that encoder as a whole.  Repeated rows are packed as often as they occur.  An empty
+table gives no piece.  Memory is bounded by one document, the open sequences (at most
+``capacity`` tokens for each of about ``2 * sqrt(capacity)`` classes) and the word cache of
+``CACHE_BYTES``, which ends with its task.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import runs, strings
+from pagewright.session import bounded_batches
 
 END = np.zeros(1, dtype="<u4").tobytes()
-#: Words whose ids a worker remembers.
-CACHED = 600_000
+#: About what the words that a task remembers, and their ids, may take.
+CACHE_BYTES = 48_000_000
+#: Of a remembered word: two objects and their place in a dictionary.
+WORD_BYTES = 200
 #: A space that does not begin a word.
 BLANKS = re.compile(r" (?:\s|\Z)")
 
@@ -58,8 +64,10 @@ def fast_encoding(path: str):
 
     The rank of a merge is its result's id in these vocabularies, so the ids are the ranks.
     """
-    import tiktoken
-
+    try:
+        import tiktoken
+    except ImportError:  # all words go through the vocabulary's own encoder
+        return None
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
     split, model = parts.get("pre_tokenizer") or {}, parts["model"]
@@ -86,9 +94,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = fast_encoding(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         #: a token's name has a character for each of its bytes
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -123,10 +132,19 @@ class WordTokenizer:
             flat = ids.tobytes()
             yield from (flat[4 * a : 4 * b] for a, b in pairwise([0, *ends.tolist()]))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
+        whole = [i for i, t in enumerate(texts) if any(name in t for name in self.special)]
+        if whole:
+            apart = dict(zip(whole, self.plain([texts[i] for i in whole]), strict=True))
+            others = iter(self.encode([t for i, t in enumerate(texts) if i not in apart]))
+            return [apart[i] if i in apart else next(others) for i in range(len(texts))]
         known = self.known
         split = [self.parts(t) for t in texts]
         heads = self.plain([words[0] for words in split])
@@ -135,6 +153,7 @@ class WordTokenizer:
         known.update(zip(steady, self.together(steady), strict=True))
         rest = [x for x in new if x not in known]
         known.update(zip(rest, self.plain([" " + x for x in rest]), strict=True))
+        self.held += WORD_BYTES * len(new) + sum(map(len, new))
         return [head + b"".join(map(known.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
 
 
@@ -220,13 +239,17 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
             kinds = [key_type, *[pa.int64()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
-            keys, texts, key_type = batch.column("__key").to_pylist(), strings(batch, "__text"), batch.schema.field("__key").type
-            for a, b in runs(texts, 1 << 21):
-                for k, ids in zip(keys[a:b], words.encode(texts[a:b]), strict=True):
-                    packer.add(k, ids + END)
-                yield from flush()
-        packer.finish()
-        yield from flush()
-
+        try:
+            for batch in batches:
+                keys, texts, key_type = batch.column("__key").to_pylist(), strings(batch, "__text"), batch.schema.field("__key").type
+                for a, b in runs(texts, 1 << 20):
+                    for k, ids in zip(keys[a:b], words.encode(texts[a:b]), strict=True):
+                        packer.add(k, ids + END)
+                    yield from flush()
+            packer.finish()
+            yield from flush()
+        finally:
+            words.forget()  # the worker goes on to other tasks
+
+    bounded_batches(docs.sparkSession)
     return inputs.mapInArrow(packed, schema)

@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import runs, strings
+from pagewright.session import bounded_batches
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¡¿–—"
-#: Words whose projected inputs a worker remembers.
-CACHED = 200_000
+#: About what the words that a task remembers, and their projected inputs, may take.
+CACHE_BYTES = 40_000_000
+#: Of a remembered word, beside its inputs: its object and its place in a dictionary.
+WORD_BYTES = 180
 
 
 @dataclass(frozen=True)
@@ -267,21 +270,23 @@ class Scorer:
         self.project = w.get("project")
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED:
+        if len(self.known) * (WORD_BYTES + self.table[0].nbytes) > CACHE_BYTES:
             self.known.clear()
+            self.table = self.table[:1024]
         split, known = [t.split() for t in texts], self.known
         new = list(set().union(*split).difference(known))
         if new:
             w = self.model.weights
             rows = np.einsum("nd,kdh->nkh", inputs([normal(x) for x in new], self.model), w["project"], optimize=True) + w["project_bias"]
             first = len(known)
-            while len(self.table) < first + len(new):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            if len(self.table) < first + len(new):
+                room = np.zeros((max(first + len(new), len(self.table) * 3 // 2) - len(self.table), *self.table.shape[1:]), np.float32)
+                self.table = np.concatenate([self.table, room])
             self.table[first : first + len(new)] = rows
             known.update(zip(new, range(first, first + len(new)), strict=True))
         return [np.array(list(map(known.__getitem__, words)), dtype=np.int64) for words in split]
 
-    def score(self, texts: list[str], most: int = 4096) -> np.ndarray:
+    def score(self, texts: list[str], most: int = 2048) -> np.ndarray:
         """The highest window score of each text."""
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
@@ -316,6 +321,7 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` with ``score`` and ``predicted`` for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = [f for f in source.schema.fields if f.name != "__text"]
@@ -335,6 +341,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` under the threshold, with all their columns as they are."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -16,9 +16,7 @@ PATH = public_tokenizers.path(TOKENIZER)
 
 @pytest.fixture(scope="module")
 def plain():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def ids(plain, text):
@@ -66,12 +64,37 @@ def test_odd_rows(spark, odd, nothing, plain):
     assert packing.pack(nothing, PATH).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t\xa0ab'.1é東<|endoftext|>", max_size=40), max_size=5))
-def test_word_ids_equal_whole_text_ids(texts):
-    words = packing.tokenizer(PATH)
-    for text, found in zip(texts, words.encode(texts), strict=True):
-        assert found == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.one_of(st.text(alphabet=" \n\t\xa0ab'.1é東<|>", max_size=12), st.just("<|endoftext|>")), max_size=6).map("".join), max_size=5))
+def test_word_ids_equal_whole_text_ids(plain, texts):
+    for text, found in zip(texts, packing.tokenizer(PATH).encode(texts), strict=True):
+        assert found == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_special_names_are_special_tokens(spark, plain):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "a <|endoftext| > b")], "doc_id long, text string")
+    check(plain, docs, packing.pack(docs, PATH).collect())
+    assert ids(plain, "a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_without_the_fast_encoder_ids_are_the_same(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    slow = packing.WordTokenizer(PATH)
+    assert slow.fast is None
+    texts = ["some words, some more", "", "ünïcode  and\nlines "]
+    assert slow.encode(texts) == packing.tokenizer(PATH).encode(texts)
+
+
+def test_word_cache_is_bounded_and_ends_with_the_task(spark, monkeypatch):
+    words = packing.WordTokenizer(PATH)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    for k in range(20):
+        words.encode([" ".join(f"word{k}x{i}" for i in range(50))])
+        assert len(words.known) < 200
+    words.forget()
+    assert not words.known
 
 
 def test_fast_ranks_are_the_vocabulary():
@@ -91,6 +114,16 @@ def test_steady_words_equal_plain_ones(texts):
 
 
 def test_classes_hold_a_fixed_number():
-    packer = packing.Packer(0, 1024, 1 / 64)
+    """Before the tail step, a sequence of class c holds exactly c pieces of that class."""
+    packer, draw = packing.Packer(0, 1024, 1 / 64), np.random.default_rng(1)
     for n in range(1, 2000):
         assert sum(packer.lengths(n % 1024)) == n % 1024
+    for key in range(4000):
+        packer.add(key, bytes(4 * int(draw.integers(1, 1500))))
+    closed = defaultdict(list)
+    for _, _, length, _, _, sequence, _ in packer.out:
+        closed[sequence].append(1024 // length)
+    assert len(closed) > 1000
+    for held in closed.values():
+        assert held == [len(held)] * len(held)
+    assert all(len(pieces) < held for held, pieces in packer.open.items())
