@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import raw_bytes, runs
-from pagewright.session import drop, staged
+from pagewright.session import bounded_batches, drop, staged
 
 SKETCH_BITS = 20
 PARTS = 64
@@ -425,6 +425,7 @@ def _linked_pairs(index: DataFrame, sets: DataFrame, first: DataFrame, names: Da
 
 def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", small_group: int = SMALL_GROUP, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     rows = staged(source.mapInArrow(lambda it: _sets(it, rule), SETS), "sets")
     members = staged(rows.where(F.col("part").isNull()).select("doc_id", "size", "node", "short"), "members")
@@ -449,17 +450,25 @@ def group(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, one row an id.
 
-    Rows without an id stay; rows without a shingle are groups of their own.
+    Rows without an id stay; rows without a shingle are groups of their own.  The ids that go
+    are far fewer than the rows, so they are broadcast where a count of them allows it, and the
+    texts of the rest are not shuffled; beyond that count both sides are.
     """
-    grouped = staged(group(docs, rule, key, text).where("doc_id = component_id").select("doc_id"), "kept-ids")
-    ids = grouped.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__kept")
-    ids = staged(ids, "kept")
-    kept = docs.join(ids, F.col(key).cast("long") == F.col("__kept"))
-    if not ids.where("__rows > 1").isEmpty():
-        once = kept.where("__rows > 1").dropDuplicates([key])
-        kept = kept.where("__rows = 1").unionByName(once)
-    kept = kept.select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    grouped = staged(group(docs, rule, key, text).where("doc_id IS NOT NULL"), "grouped")
+    gone = staged(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    often = staged(grouped.groupBy(F.col("doc_id").alias("__often")).agg(F.count("*").alias("n")).where("n > 1").select("__often"), "often")
+    drop(grouped)
+    number = F.col(key).cast("long")
+
+    def side(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+
+    kept = docs.join(side(gone), number == F.col("__gone"), "left_anti")
+    if not often.isEmpty():
+        ids = side(often)
+        once = kept.join(ids, number == F.col("__often"), "left_semi").dropDuplicates([key])
+        kept = kept.join(ids, number == F.col("__often"), "left_anti").unionByName(once)
+    return kept

@@ -105,10 +105,11 @@ def test_bitmap_differs_in_no_more_bits_than_sets_in_tokens():
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a) + len(b)
 
 
-def test_one_of_each(spark):
+@pytest.mark.parametrize("settings", [{}, {"broadcast_ids": 0}])
+def test_one_of_each(spark, settings):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(r["doc_id"] for r in jaccard.one_of_each(docs.union(docs.limit(5)), jaccard.Rule(5, 80)).collect())
+    kept = sorted(r["doc_id"] for r in jaccard.one_of_each(docs.union(docs.limit(5)), jaccard.Rule(5, 80), **settings).collect())
     assert kept == sorted({c for _, c in brute(rows, 5, 80).values()})
 
 
