@@ -50,11 +50,24 @@ def test_groups_beyond_a_cells_share_beside_a_hot_group(spark):
     assert max(loads) - min(loads) <= 0.005 * sum(loads)
 
 
-def test_differencing_keeps_every_item():
-    parts = [sharding.single(w, i, 3) for i, w in enumerate([8, 7, 6, 5, 4])]
-    bins = sharding.difference(parts, 3)
-    assert sorted(load for load, _ in bins) == [8, 11, 11] or sum(load for load, _ in bins) == 30
-    assert sorted(i for _, linked in bins for i in sharding.contents(linked)) == [0, 1, 2, 3, 4]
+def plain_difference(sizes, shards):
+    """Loads by the definition: lists are sorted anew at every step, the two of largest spread combined."""
+    parts = [[0] * (shards - 1) + [x] for x in sizes]
+    while len(parts) > 1:
+        order = sorted(range(len(parts)), key=lambda i: (parts[i][0] - parts[i][-1], i))
+        a, b = parts[order[0]], parts[order[1]]
+        parts = [p for i, p in enumerate(parts) if i not in order[:2]] + [sorted(x + y for x, y in zip(a, reversed(b), strict=True))]
+    return parts[0]
+
+
+def test_differencing_matches_its_definition():
+    draw = random.Random(4)
+    for sizes, shards in [([8, 7, 6, 5, 4], 3), *(([draw.randint(1, 1000) for _ in range(draw.randint(1, 60))], draw.randint(2, 9)) for _ in range(40))]:
+        bins = sharding.difference([sharding.single(w, i, shards) for i, w in enumerate(sizes)], shards)
+        assert sorted(load for load, _ in bins) == plain_difference(sizes, shards)
+        held = [list(sharding.contents(linked)) for _, linked in bins]
+        assert sorted(i for items in held for i in items) == list(range(len(sizes)))
+        assert [sum(sizes[i] for i in items) for items in held] == [load for load, _ in bins]
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing):
