@@ -10,6 +10,7 @@ from pagewright.operators.extract import BAD_URL, FILTERED, NOT_ENGLISH
 
 MOST_BYTES = 2 * 1024 * 1024
 MOST_REDIRECTS = 3
+DISALLOWED = "crawling disallowed"
 
 
 def truncated(body: Column, most: int = MOST_BYTES) -> Column:
@@ -22,18 +23,26 @@ def is_utf8(body: Column) -> Column:
     return F.is_valid_utf8(body.cast("string"))
 
 
-def page_status(pages: DataFrame) -> DataFrame:
+def page_status(pages: DataFrame, allowed: Column | None = None, transport: Column | None = None, status: Column | None = None) -> DataFrame:
     """``fetch_error`` of every page by native gates, first failure first; '' where it passes.
 
+    The order is bad URL, robots (``allowed`` false), ``transport`` error (not empty), ``status``
+    other than 200, UTF-8, language, title; what is not given is taken as passed, and a null too.
     The gates read the raw page, so they run before any Python and prune what reaches it.  They
     are a prefilter: what they let through is tested once more on the tree.
     """
     body = F.encode("html", "UTF-8")
     markup = without_raw_text(F.col("html"))
     url_ok = F.coalesce(F.regexp_replace("url", "^https?://", "").rlike(r"^[^\s/?#]"), F.lit(False))
+    reason = F.when(~url_ok, BAD_URL)
+    if allowed is not None:
+        reason = reason.when(~allowed, DISALLOWED)
+    if transport is not None:
+        reason = reason.when(transport != "", F.concat(F.lit("transport: "), transport))
+    if status is not None:
+        reason = reason.when(status != 200, F.concat(F.lit("status "), status.cast("string")))
     reason = (
-        F.when(~url_ok, BAD_URL)
-        .when(~is_utf8(truncated(body)), "invalid UTF-8")
+        reason.when(~is_utf8(truncated(body)), "invalid UTF-8")
         .when(~is_english(native_lang(markup)), NOT_ENGLISH)
         .when(has_filtered_term(native_titles(markup)), FILTERED)
         .otherwise("")

@@ -8,10 +8,11 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+
+from pagewright.functions.urls import full_url, host_of
 
 MOST_DELAY_US = 5_000_000
-RULES = "struct<rules:array<struct<allow:boolean,path:string>>,crawl_delay_ms:bigint>"
+RULES = "struct<rules:array<struct<allow:boolean,path:string,pattern:string>>,crawl_delay_ms:bigint>"
 
 
 def schedule(arrivals: DataFrame, delay_us: int, key: str, at_us: Column, tie: str, slice_us: int = 3_600_000_000) -> DataFrame:
@@ -67,27 +68,57 @@ def parse_robots(agent: str):
     @F.pandas_udf(RULES)
     def parsed(text: pd.Series) -> pd.DataFrame:
         found = [robots_group(t if isinstance(t, str) else None, agent) for t in text]
-        return pd.DataFrame({"rules": [[{"allow": a, "path": p} for a, p in rules] for rules, _ in found], "crawl_delay_ms": [delay for _, delay in found]})
+        rules = [[{"allow": a, "path": p, "pattern": pattern_of(p)} for a, p in rules] for rules, _ in found]
+        return pd.DataFrame({"rules": rules, "crawl_delay_ms": [delay for _, delay in found]})
 
     return parsed
 
 
-@lru_cache(maxsize=10_000)
-def _pattern(path: str) -> re.Pattern:
+def pattern_of(path: str) -> str:
+    """A rule's path as a regular expression, for Python and for Java alike."""
     body = ".*".join(re.escape(p) for p in path.removesuffix("$").split("*"))
-    return re.compile(body + (r"\Z" if path.endswith("$") else ""), re.S)
+    return f"(?s)^{body}" + (r"(?!.)" if path.endswith("$") else "")
+
+
+@lru_cache(maxsize=10_000)
+def _compiled(path: str) -> re.Pattern:
+    return re.compile(pattern_of(path))
 
 
 def allowed_by(rules: list[tuple[bool, str]], path: str) -> bool:
     """The longest matching rule decides, allow at equal length; no match allows."""
-    hits = [(len(p), allow) for allow, p in rules if _pattern(p).match(path or "/")]
+    hits = [(len(p), allow) for allow, p in rules if _compiled(p).match(path or "/")]
     return max(hits)[1] if hits else True
 
 
-@F.pandas_udf(BooleanType())
-def robots_allowed(rules: pd.Series, path: pd.Series) -> pd.Series:
-    """Whether a path may be fetched; without rules it may."""
-    found = []
-    for r, p in zip(rules, path, strict=True):
-        found.append(True if r is None else allowed_by([(x["allow"], x["path"]) for x in r], p))
-    return pd.Series(found, dtype=bool)
+def robots_allowed(rules: str | Column, path: str | Column) -> Column:
+    """``allowed_by`` as a native expression; without rules a path may be fetched."""
+    rules, path = (F.col(x) if isinstance(x, str) else x for x in (rules, path))
+    path = F.when(path == "", "/").otherwise(F.coalesce(path, F.lit("/")))
+    hits = F.transform(F.filter(rules, lambda r: F.rlike(path, r["pattern"])), lambda r: F.struct(F.length(r["path"]).alias("length"), r["allow"].alias("allow")))
+    return F.coalesce(F.array_max(hits)["allow"], F.lit(True))
+
+
+def robots_files(fetches: DataFrame, agent: str) -> DataFrame:
+    """host, rules and crawl_delay_ms by each host's newest file.
+
+    ``fetches``: host, fetched_at long, status int (null: no answer), robots_txt.  Any answer but
+    a 2xx stands for no file, which allows all.  Of files fetched at one time the least counts.
+    """
+    newest = fetches.groupBy("host").agg(F.min_by(F.struct("status", "robots_txt"), F.struct(-F.col("fetched_at"), "robots_txt", "status")).alias("file"))
+    text = F.when(F.col("file.status").between(200, 299), F.col("file.robots_txt"))
+    return newest.select("host", parse_robots(agent)(text).alias("file")).select("host", "file.rules", "file.crawl_delay_ms")
+
+
+def with_robots(requests: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
+    """``requests`` with robots_allowed and crawl_delay_ms by their host's file; a host without
+    one allows all.
+
+    The file's side has one row a host, so a hot host is a skewed left side of a left join, which
+    adaptive execution splits, or no shuffle where it finds the files small enough to broadcast.
+    """
+    full = full_url(F.col(url))
+    path = F.regexp_extract(full, r"^https?://[^/?#]*([^?#]*)", 1)
+    held = files.select(F.col("host").alias("__host"), F.col("rules").alias("__rules"), F.col("crawl_delay_ms").alias("__delay"))
+    joined = requests.join(held, host_of(full) == F.col("__host"), "left")
+    return joined.withColumns({"robots_allowed": robots_allowed("__rules", path), "crawl_delay_ms": F.coalesce("__delay", F.lit(0).cast("long"))}).drop("__host", "__rules", "__delay")

@@ -420,6 +420,40 @@ def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", F.size("parsed.rules").alias("n_rules"), F.col("parsed.crawl_delay_ms").cast("int").alias("crawl_delay_ms"))
 
 
+# Each host's file, as these queries' stand-in for a fetch: blogs have none, .com hosts answer 500.
+HOST = r"regexp_extract(url,'^https?://(?:[^/?#]*@)?([^/:?#]*)',1)"
+PATH = r"regexp_extract(url,'^https?://[^/?#]*([^?#]*)',1)"
+HAS_FILE = f"{HOST} NOT LIKE 'blog.%' AND {HOST} NOT LIKE '%.com'"
+ALLOWED = f"NOT ({HAS_FILE} AND starts_with({PATH},'/en/') AND NOT ({PATH} LIKE '/en/%1'))"
+
+
+def robots_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = pages(spark, sf_dir).select(u.host_of(F.col("url")).alias("host")).where("host NOT LIKE 'blog.%'").distinct()
+    text = "User-agent: *\nDisallow: /en/\nAllow: /en/*1$\nCrawl-delay: 2\n"
+    now = hosts.select("host", F.lit(2).cast("long").alias("fetched_at"), F.when(F.col("host").endswith(".com"), 500).otherwise(200).alias("status"), F.lit(text).alias("robots_txt"))
+    return now.union(hosts.select("host", F.lit(1).cast("long"), F.lit(200), F.lit("User-agent: *\nDisallow: /\n")))
+
+
+@query(f"SELECT page_id, url, {ALLOWED} AS robots_allowed, CAST(CASE WHEN {HAS_FILE} THEN 2000 ELSE 0 END AS BIGINT) AS crawl_delay_ms FROM pages")
+def robots_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL as a request, with its host's newest robots file."""
+    files = politeness.robots_files(robots_fetches(spark, sf_dir), "pagewright")
+    return politeness.with_robots(pages(spark, sf_dir).select("page_id", "url"), files)
+
+
+@query(
+    f"""SELECT fetch_error, count(*) AS n FROM (SELECT CASE WHEN NOT ({ALLOWED}) THEN 'crawling disallowed' WHEN contains(url,'?') THEN 'transport: timeout'
+    WHEN contains(url,'/de/') THEN 'status 404' ELSE {STATUS} END AS fetch_error FROM pages) GROUP BY fetch_error"""
+)
+def fetch_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robots, transport, status and content, first failure first; a query string stands for a time-out."""
+    files = politeness.robots_files(robots_fetches(spark, sf_dir), "pagewright")
+    p = politeness.with_robots(pages(spark, sf_dir), files)
+    transport = F.when(F.col("url").contains("?"), "timeout").otherwise("")
+    status = F.when(F.col("url").contains("/de/"), 404).otherwise(200)
+    return filters.page_status(p, F.col("robots_allowed"), transport, status).groupBy("fetch_error").agg(F.count("*").alias("n"))
+
+
 # --- counters, order, limits ---
 
 
@@ -558,6 +592,24 @@ def stream_robots_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("host").agg(F.count(F.when(F.col("fetch"), 1)).alias("n_fetches"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, epoch_us(ts) AS at_us, event_type <> 'error' AS ok,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (SELECT host, at_us, ok, rn FROM e WHERE rn = 1 UNION ALL
+    SELECT e.host, e.at_us, e.ok, e.rn FROM f JOIN e ON e.host = f.host AND e.rn =
+    (SELECT min(x.rn) FROM e x WHERE x.host = f.host AND x.at_us - f.at_us > CASE WHEN f.ok THEN 86400000000 ELSE 60000000 END))
+    SELECT host, count(*) AS n_fetches, count(*) FILTER (WHERE NOT ok) AS n_failed FROM f GROUP BY host"""
+)
+def stream_robots_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stream_robots_ttl``, but fetches at events of type error fail and are tried again sooner."""
+    events = streams.page_stream(spark, f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
+    requests = events.select(F.col("user_id").cast("string").alias("host"), at.alias("at_us"), F.col("event_id").alias("request_id"), (F.col("event_type") != "error").alias("ok"))
+    found = streams.drained(robots_state.refreshes(requests), "append").where("fetch")
+    failed = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select(F.col("event_id").alias("request_id"), F.lit(1).alias("failed"))
+    return found.join(failed, "request_id", "left").groupBy("host").agg(F.count("*").alias("n_fetches"), F.count("failed").alias("n_failed"))
+
+
 @query()
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supersteps from every page's URL as a seed, with the table of pages as the web."""

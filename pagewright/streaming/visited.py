@@ -45,6 +45,13 @@ def drained(result: DataFrame, mode: str, name: str | None = None) -> DataFrame:
         folder = "rows" if mode == "complete" else f"rows/batch={number}"
         batch.write.mode("overwrite").parquet(f"{at}/{folder}")
 
-    query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    # state with timeouts asks for one empty batch after another; a drain ends with its data
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    finally:
+        spark.conf.set(empty, before)
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{at}/rows").select(*result.columns)

@@ -74,6 +74,52 @@ def test_robots():
     assert politeness.robots_group(None, "bot") == ([], 0) and politeness.allowed_by([], "/")
 
 
+def test_native_robots_rules_match_the_plain_form(spark):
+    draw = random.Random(5)
+    word = lambda letters, n: "".join(draw.choice(letters) for _ in range(draw.randrange(n)))
+    rows = [([(draw.random() < 0.5, "/" + word("ab*.+(é", 5) + draw.choice(["", "$"])) for _ in range(draw.randrange(5))], "/" + word("ab.+(é\n", 6)) for _ in range(400)]
+    rows += [([(False, "/")], ""), ([(False, "/")], None), (None, "/a")]
+    frame = spark.createDataFrame([(i, r and [(a, p, politeness.pattern_of(p)) for a, p in r], path) for i, (r, path) in enumerate(rows)], "id int, rules array<struct<allow:boolean,path:string,pattern:string>>, path string")
+    found = {r[0]: r[1] for r in frame.select("id", politeness.robots_allowed("rules", "path")).collect()}
+    assert found == {i: politeness.allowed_by(r or [], path) for i, (r, path) in enumerate(rows)}
+    assert len(set(found.values())) == 2
+
+
+def test_robots_files_join_by_host(spark):
+    text = "User-agent: *\nDisallow: /p\nCrawl-delay: 1"
+    fetches = spark.createDataFrame([("h", 1, 200, "User-agent: *\nDisallow: /"), ("h", 2, 200, text), ("down", 1, 500, text), ("none", 1, None, None)], "host string, fetched_at long, status int, robots_txt string")
+    urls = ["https://h/p/q?x", "http://h:8080/o", "h/p", "down/p", "https://none/p", "https://other/p", None]
+    requests = spark.createDataFrame([(i, x, "kept") for i, x in enumerate(urls)], "id int, url string, rules string")
+    found = politeness.with_robots(requests, politeness.robots_files(fetches, "bot")).orderBy("id").collect()
+    assert [r["robots_allowed"] for r in found] == [False, True, False, True, True, True, True]
+    assert [r["crawl_delay_ms"] for r in found] == [1000, 1000, 1000, 0, 0, 0, 0] and found[0]["rules"] == "kept"
+
+
+def test_refreshes_match_one_by_one_processing():
+    import numpy as np
+
+    from pagewright.streaming.robots_state import due
+
+    draw = random.Random(9)
+    for _ in range(50):
+        at = sorted(draw.randrange(200) for _ in range(draw.randrange(30)))
+        ok, last, fine = [draw.random() < 0.6 for _ in at], draw.choice([None, 5]), True
+        expected, held, held_ok = [], last, fine
+        for t, o in zip(at, ok, strict=True):
+            expected.append(held is None or t - held > (40 if held_ok else 7))
+            if expected[-1]:
+                held, held_ok = t, o
+        fetch, now, now_ok = due(np.array(at, dtype=np.int64), np.array(ok, dtype=bool), last, fine, 40, 7)
+        assert fetch.tolist() == expected and (now, now_ok) == (held, held_ok)
+
+
+def test_first_failure_names_the_page(spark):
+    rows = [("", False, "t", 404), ("h/", False, "t", 404), ("h/", True, "t", 404), ("h/", True, "", 404), ("h/", None, None, None)]
+    pages = spark.createDataFrame([(*r, '<html lang="fr">') for r in rows], "url string, allowed boolean, transport string, status int, html string")
+    found = [r["fetch_error"] for r in filters.page_status(pages, F.col("allowed"), F.col("transport"), F.col("status")).collect()]
+    assert found == ["invalid URL", "crawling disallowed", "transport: t", "status 404", "non-English content"]
+
+
 def test_redirects_and_gates(spark):
     hops = spark.createDataFrame([("a", "b"), ("b", "a")], "url string, target string")
     assert filters.follow_redirects(hops, hops.select("url")).where("error = 'redirect loop'").count() == 2
