@@ -9,6 +9,7 @@ its order in either case.
 from __future__ import annotations
 
 import re
+from time import monotonic
 from collections.abc import Iterator
 from html import unescape
 
@@ -168,12 +169,17 @@ class _Builder:
         self.cut(place)
 
 
-def parse(source: str) -> Node:
-    """The html element of a page."""
+def parse(source: str, seconds: float | None = None) -> Node:
+    """The html element of a page; ``TimeoutError`` where that takes longer than ``seconds``."""
     builder, at, n = _Builder(), 0, len(source)
+    end = None if seconds is None else monotonic() + seconds
+    tokens = 0
     source = source.replace("\r\n", "\n").replace("\r", "\n") if "\r" in source else source
     n = len(source)
     while at < n:
+        if end is not None and tokens % 256 == 0 and monotonic() >= end:
+            raise TimeoutError
+        tokens += 1
         less = source.find("<", at)
         if less < 0:
             builder.text(unescape(source[at:]))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from pagewright.functions.urls import SOCIAL_HOSTS, Url, hostname, parse_url, re
 NOT_ENGLISH = "non-English content"
 FILTERED = "filtered title"
 BAD_URL = "invalid URL"
+TOO_LONG = "parsing took too long"
+PARSE_SECONDS = 5.0
 # The error texts above, and the elements whose text nobody sees.
 SILENT = frozenset(("script", "style", "noscript", "template"))
 
@@ -96,13 +98,16 @@ def metadata(nodes: list[Node]) -> dict:
     return found
 
 
-def record(url: str | None, html: str | None, base_policy: str = "last") -> dict:
+def record(url: str | None, html: str | None, base_policy: str = "last", parse_seconds: float | None = None) -> dict:
     """The page's fields, or an empty record with ``fetch_error``."""
     full = url if url and url.startswith(("http://", "https://")) else f"https://{url or ''}"
     page = parse_url(full)
     if page is None:
         return EMPTY | {"fetch_error": BAD_URL}
-    tree = parse(html or "")
+    try:
+        tree = parse(html or "", parse_seconds)
+    except TimeoutError:
+        return EMPTY | {"fetch_error": TOO_LONG}
     base = base_of(tree, page, base_policy)
     lang = tree.get("lang")
     if lang is not None and lang.split("-", 1)[0].lower() != "en":
@@ -158,7 +163,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256) -> DataFrame:
+def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256, parse_seconds: float | None = PARSE_SECONDS) -> DataFrame:
     """``keep`` and the record's fields (or some of them) of every page (columns url, html)."""
     chosen = [f for f in PAGE_SCHEMA.fields if fields is None or f.name in fields]
     inputs = pages.select(*[F.col(k).alias(f"__{k}") for k in keep], "url", "html")
@@ -169,7 +174,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields
         for whole in batches:
             for start in range(0, whole.num_rows, batch_rows):
                 batch = whole.slice(start, batch_rows)
-                rows = [record(u, h, base_policy) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+                rows = [record(u, h, base_policy, parse_seconds) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
                 columns = [batch.column(f"__{k}") for k in keep]
                 for name, kind in arrow.items():
                     values = [list(r[name].items()) if isinstance(r[name], dict) else r[name] for r in rows]
@@ -205,3 +210,18 @@ def link_rows(extracted: DataFrame) -> DataFrame:
         return F.transform(f"{kind}_links", lambda link, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), link.alias("link")))
 
     return extracted.select("page_id", F.inline(F.concat(side("internal"), side("external"))))
+
+
+class ExtractLinks:
+    """Table function: (kind, pos, link) of every link of a page given as url and html."""
+
+    def eval(self, url: str, html: str):
+        found = record(url, html, parse_seconds=PARSE_SECONDS)
+        for kind in ("internal", "external"):
+            for pos, link in enumerate(found[f"{kind}_links"]):
+                yield kind, pos, link
+
+
+def register_extract_links(spark: SparkSession, name: str = "extract_links") -> None:
+    """Let SQL call ``ExtractLinks`` as ``SELECT ... FROM pages, LATERAL extract_links(url, html)``."""
+    spark.udtf.register(name, F.udtf(ExtractLinks, returnType="kind string, pos int, link string", useArrow=True))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import ceil, log
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import domain_of, is_institutional
@@ -99,10 +101,35 @@ def queue_usage(queue: DataFrame, capacity: int = QUEUE_CAPACITY) -> DataFrame:
     return queue.agg(F.count("*").alias("length"), (F.count("*") / F.lit(capacity)).alias("usage"))
 
 
+def is_empty(queue: DataFrame) -> DataFrame:
+    """One row: whether the queue holds nothing.  It reads one entry at most."""
+    return queue.limit(1).agg((F.count("*") == 0).alias("is_empty"))
+
+
 def visit_counts(urls: DataFrame, column: str = "url") -> DataFrame:
     return urls.groupBy(domain_of(F.col(column)).alias("domain")).agg(F.count("*").alias("n"))
 
 
+def sketch_shape(capacity: int = SKETCH_URLS, rate: float = 0.01) -> tuple[int, int]:
+    """Bits and hashes for ``capacity`` URLs at a share ``rate`` of false positives."""
+    if capacity <= 0 or not 0 < rate < 1:
+        raise ValueError("a sketch needs a positive capacity and a rate between 0 and 1")
+    bits = ceil(-capacity * log(rate) / log(2) ** 2)
+    return bits, ceil(log(2) * bits / capacity)
+
+
+def save_sketch(sketch: DataFrame, path: str, bits: int, hashes: int = 7) -> None:
+    """Write a filter with its shape, without which its bits mean nothing."""
+    sketch.write.mode("overwrite").parquet(f"{path}/bits")
+    sketch.sparkSession.createDataFrame([(bits, hashes)], "bits long, hashes int").write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def load_sketch(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """The filter and its bits and hashes."""
+    shape = spark.read.parquet(f"{path}/shape").first()
+    return spark.read.schema("bit long").parquet(f"{path}/bits"), shape["bits"], shape["hashes"]
+
+
 def sketch_bits(expected: int = SKETCH_URLS) -> int:
     """Ten bits an expected URL, for ``SKETCH_URLS`` at least: with seven hashes about 1 % of false positives."""
     return 10 * max(expected, SKETCH_URLS)

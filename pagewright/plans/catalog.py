@@ -6,6 +6,7 @@ their oracle does; all others read whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as tx
 from pagewright.functions import urls as u
 from pagewright.operators import crawl, filters, frontier, politeness
-from pagewright.operators.extract import extract_pages, link_rows
+from pagewright.operators.extract import extract_pages, link_rows, register_extract_links
+from pagewright.session import shared_dir
 from pagewright.sources import seeds
 from pagewright.streaming import robots_state
 from pagewright.streaming import visited as streams
@@ -89,6 +91,36 @@ def seed_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.resumed(seed_scan(spark, sf_dir), 100)
 
 
+@query("SELECT row_number() OVER (ORDER BY page_id) AS seq, url FROM pages UNION ALL SELECT (SELECT count(*) FROM pages) + row_number() OVER (ORDER BY page_id), url FROM pages")
+def seed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds from text files, one a line, read twice over."""
+    at = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}"
+    pages(spark, sf_dir).orderBy("page_id").select("url").write.text(at)
+    return seeds.cycled(seeds.seed_lines(spark, at), 2)
+
+
+@query("SELECT seq, url FROM (SELECT row_number() OVER (ORDER BY page_id) AS seq, url FROM pages) WHERE seq > (SELECT count(*) // 3 FROM pages)")
+def progress_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds after a run that ended past a third of them, by its saved progress."""
+    at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    order, n = seed_scan(spark, sf_dir), pages(spark, sf_dir).count()
+    first, done = seeds.counted(order.where(F.col("seq") <= seeds.load_progress(spark, at) + n // 3))
+    first.write.format("noop").mode("overwrite").save()
+    seeds.save_progress(spark, at, done.get["rows"])
+    return seeds.resumed(order, seeds.load_progress(spark, at))
+
+
+@query(
+    """WITH d AS (SELECT page_id, CAST(('0x' || substr(md5(url),1,8)) AS BIGINT) / 4294967296.0 AS x FROM pages)
+    SELECT page_id, CASE WHEN x * 3 < 1 THEN 'a/1' WHEN x * 3 < 2 THEN 'b/2' ELSE 'c/3' END AS ua,
+    CASE WHEN x * 8 < 5 THEN 'a/1' WHEN x * 8 < 7 THEN 'b/2' ELSE 'c/3' END AS weighted_ua FROM d"""
+)
+def ua_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agents = seeds.user_agents(literal(spark, "value", """('[{"ua":"c/3","pct":1},{"ua":"a/1","pct":5},{"ua":"b/2","pct":2}]')"""))
+    evenly = seeds.pick_agents(pages(spark, sf_dir).select("page_id", "url"), agents).withColumnRenamed("ua", "even")
+    return seeds.pick_agents(evenly, agents, weighted=True).select("page_id", F.col("even").alias("ua"), F.col("ua").alias("weighted_ua"))
+
+
 @query("SELECT page_id, url, length(html) AS n_chars FROM pages")
 def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
@@ -110,6 +142,15 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT url, trim({unescaped(TITLE)}) AS title, {LANG} AS language, CAST(len({HREFS}) AS INTEGER) AS n_links FROM pages WHERE {ACCEPTED}")
+def page_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted pages written as JSON lines, and read back."""
+    at = f"{shared_dir(spark)}/pages-json-{uuid.uuid4().hex}"
+    seeds.write_pages_json(extract_pages(filters.accepted(pages(spark, sf_dir))).drop("page_id"), at)
+    kept = spark.read.schema("url string, title string, language string, internal_links array<string>, external_links array<string>").json(at)
+    return kept.select("url", "title", "language", (F.size("internal_links") + F.size("external_links")).alias("n_links"))
+
+
 @query(f"SELECT count(*) AS pages, count(DISTINCT {DOMAIN}) AS domains, count(*) FILTER (WHERE {ACCEPTED}) AS accepted FROM pages")
 def crawl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filters.page_status(pages(spark, sf_dir)).select(u.domain_of(F.col("url")).alias("domain"), (F.col("fetch_error") == "").alias("ok"))
@@ -297,6 +338,13 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_of(spark, sf_dir)
 
 
+@query(f"WITH {LINKS} SELECT page_id, kind, pos, link FROM links")
+def links_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links by SQL and the table function ``extract_links``."""
+    register_extract_links(spark)
+    return spark.sql("SELECT page_id, kind, pos, link FROM {pages} AS p, LATERAL extract_links(p.url, p.html)", pages=filters.accepted(pages(spark, sf_dir)))
+
+
 @query(
     f"""WITH a AS (SELECT page_id, regexp_extract_all(html,'<a [^>]*>(.*?)</a>',1) AS l FROM pages WHERE {ACCEPTED})
     SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, {unescaped("unnest(l)")} AS anchor FROM a"""
@@ -397,6 +445,22 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.when(F.col("hit") == 0, 1)).alias("n"), F.count(F.when(F.col("hit") == 1, 1)).alias("hits"))
 
 
+@query("SELECT count(*) AS n, count(*) AS hits, true AS few_false FROM pages")
+def bloom_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter for the pages' URLs, saved and loaded: it holds each, and under 3 % of as many others."""
+    urls = pages(spark, sf_dir).select("url").distinct()
+    at = f"{shared_dir(spark)}/sketch-{uuid.uuid4().hex}"
+    bits, hashes = frontier.sketch_shape(max(100, urls.count()), 0.01)
+    frontier.save_sketch(frontier.sketch_of(urls, bits, hashes), at, bits, hashes)
+    sketch, bits, hashes = frontier.load_sketch(spark, at)
+    others = urls.select("url", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i")).select(F.concat("url", F.lit("#"), "i").alias("url"))
+    held = frontier.in_sketch(urls, sketch, hashes, bits).select(F.lit(1).alias("hit"))
+    wrong = frontier.in_sketch(others, sketch, hashes, bits).select(F.lit(2).alias("hit"))
+    all_ = urls.select(F.lit(0).alias("hit")).union(held).union(wrong)
+    n = {hit: F.count(F.when(F.col("hit") == hit, 1)) for hit in range(3)}
+    return all_.agg(n[0].alias("n"), n[1].alias("hits"), (n[2] < 0.03 * 20 * n[0]).alias("few_false"))
+
+
 @query(
     """SELECT * FROM (VALUES ('/a', true), ('/a/private', false), ('/a/private/open', true), ('/x.pdf', false), ('/x.pdfs', true), ('/other', true)) t(path, allowed)"""
 )
@@ -477,6 +541,14 @@ def queue_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.queue_usage(pages(spark, sf_dir))
 
 
+@query("SELECT 'seeds' AS queue, (SELECT count(*) FROM pages) = 0 AS is_empty UNION ALL SELECT 'after its last', true")
+def queue_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = pages(spark, sf_dir).select(F.col("page_id").alias("seq"), "url")
+    last = queue.agg(F.max("seq").alias("last"))
+    left = queue.join(F.broadcast(last), F.col("seq") > F.col("last"))  # one row
+    return frontier.is_empty(queue).select(F.lit("seeds").alias("queue"), "is_empty").union(frontier.is_empty(left).select(F.lit("after its last"), "is_empty"))
+
+
 TURNS = f"""{LINKS}, both_kinds AS (SELECT page_id, kind, pos, link FROM links UNION ALL SELECT page_id, 'external', pos, replace(link, '://', '://out.') FROM links),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) AS rn FROM both_kinds),
     turns AS (SELECT page_id, kind, pos, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY rn, CASE kind WHEN 'internal' THEN 0 ELSE 1 END) AS INTEGER) AS turn FROM ranked)"""
@@ -524,12 +596,21 @@ def bounded_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.bounded(pages(spark, sf_dir).count(), arrivals, capacity=300).select("page_id", "pos", "link")
 
 
-@query(
-    f"""WITH {LINKS}, c AS (SELECT page_id, pos, link, {DOMAIN} AS domain FROM links), v AS (SELECT {DOMAIN} AS domain, count(*) AS n0 FROM pages GROUP BY 1),
+@query(f"WITH {LINKS} SELECT page_id, pos, link FROM links ORDER BY page_id, pos LIMIT 10000")
+def enqueue_with_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bounded_enqueue`` in a queue with the standard room beside any number of seeds."""
+    arrivals = links_of(spark, sf_dir).withColumn("seq", F.struct("page_id", "pos"))
+    n = pages(spark, sf_dir).count()
+    return frontier.bounded(n, arrivals, capacity=n + frontier.QUEUE_CAPACITY).select("page_id", "pos", "link")
+
+
+ENQUEUED = f"""{LINKS}, c AS (SELECT page_id, pos, link, {DOMAIN} AS domain FROM links), v AS (SELECT {DOMAIN} AS domain, count(*) AS n0 FROM pages GROUP BY 1),
     r AS (SELECT c.*, v.n0 + row_number() OVER (PARTITION BY c.domain ORDER BY page_id, pos) AS place FROM c JOIN v ON c.domain = v.domain),
-    k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS turn FROM r WHERE place <= {limit_of("domain")})
-    SELECT page_id, turn, link FROM k WHERE turn <= {limit_of("domain")} / 5"""
-)
+    k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS turn FROM r WHERE place <= {limit_of("domain")}),
+    enqueued AS (SELECT page_id, turn, link FROM k WHERE turn <= {limit_of("domain")} / 5)"""
+
+
+@query(f"WITH {ENQUEUED} SELECT page_id, turn, link FROM enqueued")
 def enqueue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir)
     return frontier.enqueue_links(links_of(spark, sf_dir), p, p.select("url"), frontier.visit_counts(p))
@@ -610,8 +691,11 @@ def stream_robots_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(failed, "request_id", "left").groupBy("host").agg(F.count("*").alias("n_fetches"), F.count("failed").alias("n_failed"))
 
 
-@query()
+@query(f"WITH {ENQUEUED} SELECT DISTINCT url, 0 AS step FROM pages UNION ALL SELECT DISTINCT link, 1 FROM enqueued WHERE link NOT IN (SELECT url FROM pages)")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supersteps from every page's URL as a seed, with the table of pages as the web."""
+    """Supersteps from every page's URL as a seed, with the table of pages as the web, to the end.
+
+    No page of the table is behind a link that is not a seed, so the second step is the last.
+    """
     p = pages(spark, sf_dir)
-    return crawl.crawl(p, p.select("url"), most_steps=3)
+    return crawl.crawl(p, p.select("url"))

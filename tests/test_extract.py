@@ -67,6 +67,15 @@ def test_long_pages_take_linear_time():
         assert process_time() - start < 20
 
 
+def test_parsing_has_a_deadline():
+    from pagewright.operators.extract import TOO_LONG
+
+    with pytest.raises(TimeoutError):
+        parse("<p>x", seconds=0)
+    assert record("h", "<p>x", parse_seconds=0) == EMPTY | {"fetch_error": TOO_LONG}
+    assert record("h", "<p>x", parse_seconds=60)["visible_text"] == "x"
+
+
 def test_native_gates_let_through_what_the_tree_accepts(spark):
     from pagewright.operators.filters import page_status
 

@@ -26,10 +26,32 @@ def test_sketch_grows_with_the_urls():
     assert [frontier.sketch_bits(n) for n in (0, 1_000_000, 3_000_000)] == [10_000_000, 10_000_000, 30_000_000]
 
 
+def test_sketch_shape_and_snapshot(spark, tmp_path):
+    assert frontier.sketch_shape(1_000_000, 0.01) == (9_585_059, 7)
+    for wrong in ((0, 0.01), (10, 0.0), (10, 1.0)):
+        with pytest.raises(ValueError):
+            frontier.sketch_shape(*wrong)
+    urls = spark.createDataFrame([("u1",), ("u2",)], "url string")
+    bits, hashes = frontier.sketch_shape(10, 0.001)
+    frontier.save_sketch(frontier.sketch_of(urls, bits, hashes), f"{tmp_path}/sketch", bits, hashes)
+    sketch, *shape = frontier.load_sketch(spark, f"{tmp_path}/sketch")
+    assert shape == [bits, hashes] and frontier.in_sketch(urls, sketch, hashes, bits).count() == 2
+
+
+def test_crawl_goes_on_to_the_end(spark):
+    from pagewright.operators.crawl import crawl
+
+    pages = spark.createDataFrame([(i, f"https://h/{i}", f'<a href="/{i + 1}">t</a><a href="/0">t</a>') for i in range(5)], "page_id long, url string, html string")
+    first = spark.createDataFrame([("h/0",)], "url string")
+    assert sorted(tuple(r) for r in crawl(pages, first).collect()) == [(f"https://h/{i}", i) for i in range(6)]
+    assert crawl(pages, first, most_steps=2).count() == 2 and crawl(pages, first.limit(0)).count() == 0
+
+
 def test_queue(spark):
     arrivals = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "url string, seq long")
     assert [r["url"] for r in frontier.bounded(1, arrivals, capacity=3).orderBy("seq").collect()] == ["a", "b"]
     assert frontier.bounded(5, arrivals, capacity=3).count() == 0
+    assert [frontier.is_empty(x).first()["is_empty"] for x in (arrivals, arrivals.limit(0))] == [False, True]
     assert [r["url"] for r in frontier.oldest(arrivals, 2).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         frontier.bounded(0, arrivals, capacity=0)
