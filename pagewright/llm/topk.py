@@ -3,7 +3,9 @@
 Every vector component x becomes the integer ``floor(scale * x)``.  The vectors are dealt to
 tasks; each task builds ball trees over shards of at most ``shard_rows`` of its vectors and
 searches them for a block of queries.  No ball holds a vector whose inner product with q is
-over q . centre + |q| * radius, so balls are visited from the highest bound down, with the
+over q . centre + |q| * radius, nor over |q| times its longest vector times the cosine of q's
+angle to the narrowest cone around the centre that holds the ball's vectors.  The lesser of the
+two is the ball's bound; balls are visited from the highest bound down, with the
 queries that can still gain, and a query leaves a ball whose bound is under its current kth
 score.  That score starts from a bounded sample of large vectors, and goes on from ball to
 ball and from shard to shard of the task.  The tasks' best k of each query are merged by a
@@ -88,7 +90,8 @@ class BallTree:
     def __init__(self, vectors: np.ndarray, leaf: int):
         self.order = np.arange(len(vectors))
         self.vectors = vectors.astype(np.float64)
-        self.start, self.end, self.children, centres, radii = [], [], [], [], []
+        lengths = np.sqrt((self.vectors**2).sum(axis=1))
+        self.start, self.end, self.children, centres, radii, longest, cosines = [], [], [], [], [], [], []
         todo = [(0, len(vectors), -1)]
         while todo:
             a, b, parent = todo.pop()
@@ -100,6 +103,9 @@ class BallTree:
             away = np.sqrt(((own - centre) ** 2).sum(axis=1))
             self.start.append(a), self.end.append(b), self.children.append([]), centres.append(centre)
             radii.append(away.max())
+            size, middle = lengths[self.order[a:b]], np.sqrt((centre**2).sum())
+            longest.append(size.max())
+            cosines.append(float((own @ centre / (size * middle)).min()) if size.min() > 0 and middle > 0 else -1.0)
             if b - a > leaf and away.max() > 0:
                 pole = own[away.argmax()]
                 other = own[((own - pole) ** 2).sum(axis=1).argmax()]
@@ -107,11 +113,28 @@ class BallTree:
                 self.order[a:b] = self.order[a:b][np.argpartition(own @ (other - pole), half)]
                 todo += [(a, a + half, node), (a + half, b, node)]
         self.centres, self.radii = np.array(centres), np.array(radii)
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> None:
-        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        # slack for rounding: scores are integers and bounds are floats
-        bounds = queries.astype(np.float64) @ self.centres.T + norms[:, None] * self.radii * (1 + 1e-9) + 1e-3
+        self.longest, self.cosines = np.array(longest), np.clip(cosines, -1.0, 1.0)
+
+    def bounds(self, queries: np.ndarray, rows: int = 2048) -> np.ndarray:
+        """No vector of a node (column) has a larger product with a query (row); made in blocks of rows."""
+        found = np.empty((len(queries), len(self.radii)))
+        middle = np.sqrt((self.centres**2).sum(axis=1))
+        sines = np.sqrt(1 - self.cosines**2)
+        for a in range(0, len(queries), rows):
+            some = queries[a : a + rows].astype(np.float64)
+            norms = np.sqrt((some**2).sum(axis=1))[:, None]
+            along = some @ self.centres.T
+            angle = np.clip(along / np.maximum(norms * middle, 1e-300), -1.0, 1.0)
+            edge = np.where(angle >= self.cosines, 1.0, angle * self.cosines + np.sqrt(1 - angle**2) * sines)
+            # slack for rounding: scores are integers and bounds are floats
+            ball = along + norms * (self.radii + 1e-9 * (self.radii + middle))
+            cone = norms * self.longest * (np.maximum(edge, 0.0) + 1e-6)
+            found[a : a + rows] = np.minimum(ball, cone) + 1e-3
+        return found
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> int:
+        """Offer ``best`` all that can be in it; returns the number of pairs scored."""
+        bounds, scored = self.bounds(queries), 0
         heap = [(-bounds[:, 0].max(), 0)]
         while heap:
             _, node = heapq.heappop(heap)
@@ -126,10 +149,12 @@ class BallTree:
                 continue
             rows = self.order[self.start[node] : self.end[node]]
             score = exact_product(queries[active], vectors[rows])
+            scored += score.size
             take = (score >= best.floor[active][:, None]) & (query_ids[active][:, None] != ids[rows][None, :])
             i, j = np.nonzero(take)
             if len(i):
                 best.offer(active[i], ids[rows[j]], score[i, j])
+        return scored
 
 
 def _search(batches: Iterator[pa.RecordBatch], shared, k: int, shard_rows: int, leaf: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +199,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared, k: int, shard_rows: int,
 
 def top_k(
     table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding",
-    block: int = 16_384, shard_rows: int = 16_384, leaf: int = 512, sample: int = 1024,
+    block: int = 16_384, shard_rows: int = 16_384, leaf: int = 128, sample: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query row."""
     spark = table.sparkSession

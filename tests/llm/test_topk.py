@@ -37,3 +37,33 @@ def test_odd_vectors(spark):
     found = run(spark, rows)
     assert found == {0: [(1, 20480), (2, 20480), (3, 6144), (3, 6144)]}
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_bounds_hold():
+    """No bound is under a product of its node, with zero and very long vectors too."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(100, 16))
+    for near in (0.1, 10.0):
+        rows = np.floor(64 * (centres[draw.integers(0, 100, 4000)] + near * draw.normal(size=(4000, 16)))).astype(np.int64)
+        rows[:3] = 0
+        rows[3] *= 2**40
+        queries = np.concatenate([rows[::20], -rows[1:40:3]])
+        tree = topk.BallTree(rows, 32)
+        bounds, products = tree.bounds(queries, rows=64), queries.astype(float) @ rows.T.astype(float)
+        for node, (a, b) in enumerate(zip(tree.start, tree.end, strict=True)):
+            highest = products[:, tree.order[a:b]].max(axis=1)
+            assert (bounds[:, node] >= highest - 1e-12 * np.abs(highest)).all()
+        ids, best = np.arange(4000), topk.Best(np.full(len(queries), np.iinfo(np.int64).min), 5)
+        tree.search(queries, np.full(len(queries), -1), rows, ids, best)
+        best.merge()
+        assert np.array_equal(best.score.reshape(-1, 5), np.sort(queries @ rows.T, axis=1)[:, ::-1][:, :5])
+
+
+def test_clustered_vectors_are_pruned():
+    """Over half of the pairs of clustered vectors are never scored."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(50, 16))
+    clustered = np.floor(64 * (centres[draw.integers(0, 50, 8000)] + 0.05 * draw.normal(size=(8000, 16)))).astype(np.int64)
+    ids, queries = np.arange(8000), clustered[::20]
+    best = topk.Best(np.full(len(queries), np.iinfo(np.int64).min), 20)
+    assert topk.BallTree(clustered, 64).search(queries, ids[::20], clustered, ids, best) < 0.5 * len(queries) * 8000
