@@ -20,9 +20,11 @@ NOT_ENGLISH = "non-English content"
 FILTERED = "filtered title"
 BAD_URL = "invalid URL"
 TOO_LONG = "parsing took too long"
-PARSE_SECONDS = 5.0
-# The error texts above, and the elements whose text nobody sees.
+NO_URL = "https://localhost/"
+# The error texts, the stand-in for a URL, and the elements whose text nobody sees.
 SILENT = frozenset(("script", "style", "noscript", "template"))
+# Fields that a page without a URL cannot have.
+OF_URL = frozenset(("url", "canonical_url", "anchor_texts", "internal_links", "external_links", "social_links", "is_secure"))
 
 _text, _list = T.StringType(), T.ArrayType(T.StringType())
 PAGE_SCHEMA = T.StructType(
@@ -163,10 +165,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256, parse_seconds: float | None = PARSE_SECONDS) -> DataFrame:
-    """``keep`` and the record's fields (or some of them) of every page (columns url, html)."""
+def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256, parse_seconds: float | None = None) -> DataFrame:
+    """``keep`` and the record's fields (or some of them) of every page (columns url, html).
+
+    Without a column url the records are of the html alone, and no bad URL empties one.  Every
+    page is parsed to its end; a caller that gives up on pages after ``parse_seconds`` must take
+    ``fetch_error`` too, which tells these from pages that hold nothing.
+    """
     chosen = [f for f in PAGE_SCHEMA.fields if fields is None or f.name in fields]
-    inputs = pages.select(*[F.col(k).alias(f"__{k}") for k in keep], "url", "html")
+    names = {f.name for f in chosen}
+    if parse_seconds is not None and "fetch_error" not in names:
+        raise ValueError("parse_seconds needs fetch_error among the fields")
+    has_url = "url" in pages.columns
+    if not has_url and names & OF_URL:
+        raise ValueError(f"without a column url there is no {', '.join(sorted(names & OF_URL))}")
+    inputs = pages.select(*[F.col(k).alias(f"__{k}") for k in keep], *["url"][:has_url], "html")
     schema = T.StructType([*(T.StructField(f"__{k}", inputs.schema[f"__{k}"].dataType) for k in keep), *chosen])
     arrow = {f.name: _arrow(f.dataType) for f in chosen}
 
@@ -174,7 +187,8 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields
         for whole in batches:
             for start in range(0, whole.num_rows, batch_rows):
                 batch = whole.slice(start, batch_rows)
-                rows = [record(u, h, base_policy, parse_seconds) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+                urls = batch.column("url").to_pylist() if has_url else [NO_URL] * batch.num_rows
+                rows = [record(u, h, base_policy, parse_seconds) for u, h in zip(urls, batch.column("html").to_pylist(), strict=True)]
                 columns = [batch.column(f"__{k}") for k in keep]
                 for name, kind in arrow.items():
                     values = [list(r[name].items()) if isinstance(r[name], dict) else r[name] for r in rows]
@@ -216,7 +230,7 @@ class ExtractLinks:
     """Table function: (kind, pos, link) of every link of a page given as url and html."""
 
     def eval(self, url: str, html: str):
-        found = record(url, html, parse_seconds=PARSE_SECONDS)
+        found = record(url, html)
         for kind in ("internal", "external"):
             for pos, link in enumerate(found[f"{kind}_links"]):
                 yield kind, pos, link

@@ -102,3 +102,40 @@ def test_frame_keeps_ids_and_empty_tables(spark):
     found = extract_pages(pages).collect()
     assert {r["page_id"] for r in found} == {1, 2} and len(found[0]) == 22
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+SLOW = '<html lang="en"><title>Tides</title><h1>High water</h1>' + "<" * 1_000_000  # once quadratic: far more than five seconds of parsing
+
+
+def written(spark, at, *rows):
+    """A folder with a table of pages, as queries take it."""
+    spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    return str(at)
+
+
+def test_headings_of_slow_pages_and_of_pages_with_bad_urls(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    short = SLOW.rstrip("<")
+    at = written(spark, tmp_path, ("https://h/", SLOW), ("bad host/", short), (None, short), ("https://h/", short.replace("en", "fr")))
+    found = sorted((r["page_id"], r["tag"], r["pos"], r["heading"][:10]) for r in catalog.QUERIES["headings"](spark, at).collect())
+    assert found == [(i, "h1", 0, "High water") for i in range(3)]
+
+
+def test_bare_less_than_signs_take_linear_time():
+    from time import process_time
+
+    start = process_time()
+    tree = parse("<p>a" + "<" * 1_000_000)
+    assert process_time() - start < 10 and tree.children[1].children[0].children == ["a" + "<" * 1_000_000]
+
+
+def test_failures_never_look_like_empty_pages(spark):
+    from pagewright.operators.extract import TOO_LONG
+
+    pages = spark.createDataFrame([(1, "https://h/", FULL)], "page_id long, url string, html string")
+    with pytest.raises(ValueError):
+        extract_pages(pages, fields=("headings",), parse_seconds=1)
+    with pytest.raises(ValueError):
+        extract_pages(pages.drop("url"), fields=("internal_links", "headings"))
+    assert extract_pages(pages, fields=("headings", "fetch_error"), parse_seconds=0).first()["fetch_error"] == TOO_LONG
