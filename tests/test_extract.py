@@ -122,6 +122,15 @@ def test_headings_of_slow_pages_and_of_pages_with_bad_urls(spark, tmp_path):
     assert found == [(i, "h1", 0, "High water") for i in range(3)]
 
 
+def test_visible_text_of_slow_pages_and_of_pages_with_bad_urls(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    short = SLOW.rstrip("<")
+    at = written(spark, tmp_path, ("https://h/", SLOW), ("bad host/", short), (None, short), ("https://h/", short.replace("en", "fr")))
+    found = sorted((r["page_id"], r["visible_text"][:16]) for r in catalog.QUERIES["visible_text"](spark, at).collect())
+    assert found == [(i, "Tides High water") for i in range(3)]
+
+
 def test_bare_less_than_signs_take_linear_time():
     from time import process_time
 
