@@ -100,14 +100,14 @@ def metadata(nodes: list[Node]) -> dict:
     return found
 
 
-def record(url: str | None, html: str | None, base_policy: str = "last", parse_seconds: float | None = None) -> dict:
+def record(url: str | None, html: str | None, base_policy: str = "last", parse_seconds: float | None = None, references: str = "html5") -> dict:
     """The page's fields, or an empty record with ``fetch_error``."""
     full = url if url and url.startswith(("http://", "https://")) else f"https://{url or ''}"
     page = parse_url(full)
     if page is None:
         return EMPTY | {"fetch_error": BAD_URL}
     try:
-        tree = parse(html or "", parse_seconds)
+        tree = parse(html or "", parse_seconds, references)
     except TimeoutError:
         return EMPTY | {"fetch_error": TOO_LONG}
     base = base_of(tree, page, base_policy)
@@ -165,12 +165,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256, parse_seconds: float | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields: tuple[str, ...] | None = None, base_policy: str = "last", batch_rows: int = 256, parse_seconds: float | None = None, references: str = "html5") -> DataFrame:
     """``keep`` and the record's fields (or some of them) of every page (columns url, html).
 
     Without a column url the records are of the html alone, and no bad URL empties one.  Every
     page is parsed to its end; a caller that gives up on pages after ``parse_seconds`` must take
-    ``fetch_error`` too, which tells these from pages that hold nothing.
+    ``fetch_error`` too, which tells these from pages that hold nothing.  Character references
+    are read by the rules of HTML5, or with ``references="ended"`` only where a semicolon ends them.
     """
     chosen = [f for f in PAGE_SCHEMA.fields if fields is None or f.name in fields]
     names = {f.name for f in chosen}
@@ -188,7 +189,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), fields
             for start in range(0, whole.num_rows, batch_rows):
                 batch = whole.slice(start, batch_rows)
                 urls = batch.column("url").to_pylist() if has_url else [NO_URL] * batch.num_rows
-                rows = [record(u, h, base_policy, parse_seconds) for u, h in zip(urls, batch.column("html").to_pylist(), strict=True)]
+                rows = [record(u, h, base_policy, parse_seconds, references) for u, h in zip(urls, batch.column("html").to_pylist(), strict=True)]
                 columns = [batch.column(f"__{k}") for k in keep]
                 for name, kind in arrow.items():
                     values = [list(r[name].items()) if isinstance(r[name], dict) else r[name] for r in rows]

@@ -131,6 +131,22 @@ def test_visible_text_of_slow_pages_and_of_pages_with_bad_urls(spark, tmp_path):
     assert found == [(i, "Tides High water") for i in range(3)]
 
 
+CUT = '<html lang="en"><meta charset="utf-8"><title>Tern &amp; skua &amp</title><h1>Gull &quot;x&quot; &quot</h1>&#233;&am'
+
+
+def test_references_by_html5_or_with_their_semicolon():
+    assert record("https://h/", CUT)["visible_text"] == 'Tern & skua & Gull "x" " é&am'
+    assert record("https://h/", CUT, references="ended")["visible_text"] == 'Tern & skua &amp Gull "x" &quot é&am'
+    assert record("https://h/", "<title>&nosuch; &ampamp; &#xe9;&#xe9 &amp;amp;</title>", references="ended")["title"] == "&nosuch; &ampamp; é&#xe9 &amp;"
+
+
+def test_extract_page_reads_references_as_its_sql(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    found = catalog.QUERIES["extract_page"](spark, written(spark, tmp_path, ("https://h/", CUT))).collect()
+    assert [(r["page_id"], r["title"], r["charset"]) for r in found] == [(0, "Tern & skua &amp", "utf-8")]
+
+
 def test_bare_less_than_signs_take_linear_time():
     from time import process_time
 
