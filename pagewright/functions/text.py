@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pagewright.functions.html_tree import unescape_ended
+
 # Fixed values.
 FILTERED_TERMS = ("xxx", "porn", "sex", "onlyfans", "gore", "hentai")
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})$"
@@ -20,6 +22,12 @@ def decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unescape(x) if isinstance(x, str) else None)
 
 
+@F.pandas_udf(StringType())
+def decoded_ended(text: pd.Series) -> pd.Series:
+    """Character references decoded where a semicolon ends them."""
+    return text.map(lambda x: unescape_ended(x) if isinstance(x, str) else None)
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

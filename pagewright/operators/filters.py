@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import decoded, has_filtered_term, is_english, native_lang, native_title, native_titles, without_raw_text
+from pagewright.functions.text import decoded, decoded_ended, has_filtered_term, is_english, native_lang, native_title, native_titles, without_raw_text
 from pagewright.operators.extract import BAD_URL, FILTERED, NOT_ENGLISH
 
 MOST_BYTES = 2 * 1024 * 1024
@@ -54,8 +54,9 @@ def accepted(pages: DataFrame) -> DataFrame:
     return page_status(pages).where("fetch_error = ''").drop("fetch_error")
 
 
-def title_of(html: Column) -> Column:
-    return F.regexp_replace(decoded(native_title(html)), r"(?U)^\s+|\s+$", "")
+def title_of(html: Column, references: str = "html5") -> Column:
+    decode = {"html5": decoded, "ended": decoded_ended}[references]
+    return F.regexp_replace(decode(native_title(html)), r"(?U)^\s+|\s+$", "")
 
 
 def follow_redirects(hops: DataFrame, requests: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:

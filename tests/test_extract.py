@@ -161,6 +161,13 @@ def test_page_json_sink_reads_references_as_its_sql(spark, tmp_path):
     assert [tuple(r) for r in found] == [("https://h/", "Tern & skua &amp", "en", 0)]
 
 
+def test_page_title_reads_references_as_its_sql(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    found = catalog.QUERIES["page_title"](spark, written(spark, tmp_path, ("https://h/", CUT))).collect()
+    assert [tuple(r) for r in found] == [(0, "Tern & skua &amp")]
+
+
 def test_bare_less_than_signs_take_linear_time():
     from time import process_time
 
